@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import bpe, licenses, line_dedup
 from ._common import table
 
 
@@ -11,9 +14,16 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    return out.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op7_license_scan)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op7_license_scan": licenses.ORACLE}
