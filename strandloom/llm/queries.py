@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup
+from . import bpe, fingerprints, licenses, line_dedup
 from ._common import table
 
 
@@ -25,5 +25,9 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op7_license_scan)}
+def op9_fingerprint(spark, sf_dir):
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op7_license_scan, op9_fingerprint)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op7_license_scan": licenses.ORACLE}
