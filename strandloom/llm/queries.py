@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, line_dedup
+from . import bpe, fingerprints, licenses, line_dedup, pii
 from ._common import table
 
 
@@ -29,5 +29,10 @@ def op9_fingerprint(spark, sf_dir):
     return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op7_license_scan, op9_fingerprint)}
+def op10_pii(spark, sf_dir):
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op7_license_scan, op9_fingerprint, op10_pii)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op7_license_scan": licenses.ORACLE}
