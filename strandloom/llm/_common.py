@@ -30,3 +30,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most_rows: int) -> DataFrame:
+    """df (written before, so counting is cheap) marked for a broadcast if it has at most most_rows rows, else for a merge join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")

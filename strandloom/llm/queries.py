@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, line_dedup, pii
+from . import bpe, fingerprints, licenses, line_dedup, ngram_join, pii
 from ._common import table
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
@@ -34,5 +38,5 @@ def op10_pii(spark, sf_dir):
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_bpe, op7_license_scan, op9_fingerprint, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op7_license_scan, op9_fingerprint, op10_pii)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op7_license_scan": licenses.ORACLE}
