@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, line_dedup, ngram_join, pii
+from . import bpe, decontaminate, fingerprints, licenses, line_dedup, ngram_join, pii, toxicity
 from ._common import table
 
 
@@ -25,10 +25,22 @@ def op3_bpe(spark, sf_dir):
     return out.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), usable=remainder != 1)
+    return out.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_fingerprint(spark, sf_dir):
     return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,5 +50,5 @@ def op10_pii(spark, sf_dir):
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op7_license_scan, op9_fingerprint, op10_pii)}
-ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op7_license_scan": licenses.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii)}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE}
