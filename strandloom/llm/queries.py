@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, licenses, line_dedup, ngram_join, pii, toxicity
+from . import bpe, decontaminate, fingerprints, html_extract, licenses, line_dedup, ngram_join, pii, secret_scan, toxicity
 from ._common import table
 
 
@@ -25,6 +25,17 @@ def op3_bpe(spark, sf_dir):
     return out.select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_secret_scan(spark, sf_dir):
+    out = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(secret_scan.spelt("base"), 256).alias("base_sha256"), secret_scan.spelt("spans").alias("spans"))
+
+
+def op5_html_extract(spark, sf_dir):
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -50,5 +61,5 @@ def op10_pii(spark, sf_dir):
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE}
