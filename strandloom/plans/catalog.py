@@ -1,2 +1,182 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The queries of this library over the driver's tables, and their SQL.
+
+The tables hold no reads, so each line of documents.text is projected to one; see sources.reads.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.codec import decode_kmer
+from ..operators import kmers, lookup, packing, tables
+from ..sources.reads import TEXT_FROM, TEXT_TO, reads_from_text
+from ..streaming import counts as streaming
+
+LOOKUP_K = 9
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads_from_text(_documents(spark, sf_dir), "doc_id")
+
+
+def fastq_sequence_filter(spark, sf_dir):
+    """Document lines taken as lines of records: the second of each four."""
+    lines = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "seq"))
+    return lines.where(F.col("line") % 4 == 1).select("doc_id", F.col("line").cast("long").alias("line"), "seq")
+
+
+def reads_projection(spark, sf_dir):
+    return _reads(spark, sf_dir)
+
+
+def encode_reads(spark, sf_dir):
+    packed = packing.pack(_reads(spark, sf_dir))
+    return packed.select("doc_id", "line", "header", F.posexplode("blocks").alias("block_i", "block")).withColumn("block_i", F.col("block_i").cast("long"))
+
+
+def decode_roundtrip(spark, sf_dir):
+    return packing.unpack(packing.pack(_reads(spark, sf_dir))).select("doc_id", "line", "seq")
+
+
+def kmer_extract_k5(spark, sf_dir):
+    found = kmers.windows(_reads(spark, sf_dir), 5)
+    return found.groupBy("doc_id", "line").agg(F.count("*").alias("n_kmers"), F.min("kmer").alias("first_kmer"), F.max("kmer").alias("last_kmer"))
+
+
+def _counts(k: int, **options):
+    def query(spark, sf_dir):
+        return kmers.count(_reads(spark, sf_dir), k, **options)
+
+    return query
+
+
+kmer_counts_k5 = _counts(5)
+kmer_counts_k9 = _counts(9)
+kmer_counts_k21 = _counts(21)
+kmer_counts_k31 = _counts(31)
+kmer_counts_native_k9 = _counts(9, strategy="native")
+kmer_counts_forward_k9 = _counts(9, canonical=False)
+kmer_counts_u16_k2 = _counts(2, count_mode="u16")
+
+
+def kmer_encoded_k9(spark, sf_dir):
+    rows = kmers.encoded(kmer_counts_k9(spark, sf_dir))
+    return rows.select("kmer", "enc", decode_kmer(F.col("enc"), 9).alias("decoded"), "cnt")
+
+
+def kmer_partition_stats(spark, sf_dir):
+    return tables.partition_stats(kmer_counts_k9(spark, sf_dir), 9)
+
+
+def kmer_distinct_total(spark, sf_dir):
+    return tables.totals(kmer_counts_k9(spark, sf_dir))
+
+
+def kmer_merge(spark, sf_dir):
+    """Counts of documents with even and with odd ids, merged."""
+    reads = _reads(spark, sf_dir)
+    half = lambda r: kmers.count(reads.where(F.col("doc_id") % 2 == r), 9)
+    return tables.merge(half(0), half(1))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """(qid, kmer): the first k-mer in the first line of each document whose id is divisible by 100."""
+    first = _reads(spark, sf_dir).where((F.col("doc_id") % 100 == 0) & (F.col("line") == 0))
+    kmer = F.regexp_extract("seq", f"[ACGT]{{{LOOKUP_K}}}", 0)
+    return first.select((F.col("doc_id") / 100).cast("int").alias("qid"), kmer.alias("kmer")).where("kmer <> ''")
+
+
+def _lookup(**options):
+    def query(spark, sf_dir):
+        return lookup.lookup(kmers.count(_reads(spark, sf_dir), LOOKUP_K), _asked(spark, sf_dir), **options)
+
+    return query
+
+
+kmer_lookup_exact = _lookup()
+kmer_lookup_canonical = _lookup(mode="canonical")
+kmer_lookup_dup_last = _lookup(dup="last")
+
+
+def encoded_size(spark, sf_dir):
+    return packing.packed_size(packing.pack(_reads(spark, sf_dir)))
+
+
+def stream_counts(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    # A pattern, as a stream reads folders or patterns, and the table may be one file.
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return streaming.run_available(streaming.stream_counts(reads_from_text(docs), 5), _shared(spark))
+
+
+def _shared(spark: SparkSession) -> str:
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+
+
+QUERIES = {
+    f: globals()[f]
+    for f in (
+        "fastq_sequence_filter", "reads_projection", "encode_reads", "decode_roundtrip", "kmer_extract_k5",
+        "kmer_counts_k5", "kmer_counts_k9", "kmer_counts_k21", "kmer_counts_k31", "kmer_counts_native_k9", "kmer_counts_forward_k9", "kmer_counts_u16_k2",
+        "kmer_encoded_k9", "kmer_partition_stats", "kmer_distinct_total", "kmer_merge",
+        "kmer_lookup_exact", "kmer_lookup_canonical", "kmer_lookup_dup_last", "encoded_size", "stream_counts",
+    )
+}
+
+READS = f"""reads AS (
+  SELECT doc_id, line - 1 AS line, regexp_replace(translate(raw, '{TEXT_FROM}', '{TEXT_TO}'), '[^ACGT]', 'N', 'g') AS seq, raw
+  FROM (SELECT doc_id, unnest(a) AS raw, unnest(range(1, len(a) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)))"""
+
+
+def _windows(k: int, where: str = "TRUE") -> str:
+    return f"""w AS (SELECT doc_id, line, substr(seq, i, {k}) AS w FROM (SELECT doc_id, line, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM reads WHERE {where})),
+v AS (SELECT doc_id, line, w, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS c FROM w WHERE NOT contains(w, 'N'))"""
+
+
+def _count_sql(k: int, column: str = "c", value: str = "count(*)") -> str:
+    return f"WITH {READS}, {_windows(k)} SELECT {column} AS kmer, {value} AS cnt FROM v GROUP BY 1"
+
+
+ENC = "list_reduce(list_transform(string_split({}, ''), lambda x: (strpos('ACGT', x) - 1)::BIGINT), lambda x, y: x * 4 + y)"
+BLOCKS = """p AS (SELECT doc_id, line, 3221225472 + length(seq) AS header, unnest(range(0, (length(seq) + 9) // 10)) AS block_i, seq FROM reads),
+b AS (SELECT doc_id, line, header, block_i, list_reduce(list_transform(string_split(rpad(translate(substr(seq, block_i * 10 + 1, 10), 'ACGTN', '01234'), 10, '0'), ''), lambda x: x::BIGINT), lambda x, y: x * 8 + y) AS block FROM p)"""
+COUNTS9 = f"{READS}, {_windows(9)}, k AS (SELECT c AS kmer, count(*) AS cnt FROM v GROUP BY 1)"
+
+
+def _lookup_sql(key: str, value: str) -> str:
+    return f"""WITH {COUNTS9},
+q AS (SELECT (doc_id // 100)::INT AS qid, regexp_extract(seq, '[ACGT]{{{LOOKUP_K}}}') AS kmer FROM reads WHERE doc_id % 100 = 0 AND line = 0),
+a AS (SELECT qid, kmer, {key} AS key, max(qid) OVER (PARTITION BY kmer) AS last FROM q WHERE kmer <> '')
+SELECT qid, a.kmer AS kmer, ({value})::BIGINT AS cnt FROM a LEFT JOIN k ON k.kmer = a.key"""
+
+
+ORACLE_SQL = {
+    "fastq_sequence_filter": f"WITH {READS} SELECT doc_id, line, raw AS seq FROM reads WHERE line % 4 = 1",
+    "reads_projection": f"WITH {READS} SELECT doc_id, line, seq FROM reads",
+    "encode_reads": f"WITH {READS}, {BLOCKS} SELECT doc_id, line, header, block_i, block FROM b",
+    "decode_roundtrip": f"WITH {READS} SELECT doc_id, line, seq FROM reads",
+    "kmer_extract_k5": f"WITH {READS}, {_windows(5)} SELECT doc_id, line, count(*) AS n_kmers, min(w) AS first_kmer, max(w) AS last_kmer FROM v GROUP BY 1, 2",
+    "kmer_counts_k5": _count_sql(5),
+    "kmer_counts_k9": _count_sql(9),
+    "kmer_counts_k21": _count_sql(21),
+    "kmer_counts_k31": _count_sql(31),
+    "kmer_counts_native_k9": _count_sql(9),
+    "kmer_counts_forward_k9": _count_sql(9, "w"),
+    "kmer_counts_u16_k2": _count_sql(2, value="count(*) % 65536"),
+    "kmer_encoded_k9": f"WITH {COUNTS9} SELECT kmer, {ENC.format('kmer')} AS enc, kmer AS decoded, cnt FROM k",
+    "kmer_partition_stats": f"WITH {COUNTS9} SELECT (({ENC.format('kmer')}) >> 4) % 100 AS part, count(*) AS distinct_kmers, sum(cnt)::BIGINT AS total FROM k GROUP BY 1",
+    "kmer_distinct_total": f"WITH {COUNTS9} SELECT count(*) AS distinct_kmers, coalesce(sum(cnt), 0)::BIGINT AS total, coalesce(max(cnt), 0) AS largest FROM k",
+    "kmer_merge": _count_sql(9),
+    "kmer_lookup_exact": _lookup_sql("kmer", "coalesce(cnt, 0)"),
+    "kmer_lookup_canonical": _lookup_sql("least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))", "coalesce(cnt, 0)"),
+    "kmer_lookup_dup_last": _lookup_sql("kmer", "CASE WHEN qid = last THEN coalesce(cnt, 0) ELSE 0 END"),
+    "encoded_size": f"WITH {READS} SELECT count(*) AS reads, (sum(1 + (length(seq) + 9) // 10) * 4)::BIGINT AS bytes FROM reads",
+    "stream_counts": _count_sql(5),
+}
