@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from ._common import cut
+from ._common import cut, sized
 
 WIDTH = 5
 SHARE = 0.8
 MISS = 1e-9
 BLOCK = 2_000_000
+#: Ids of contaminated documents that are broadcast at most, beyond it they are joined by a shuffle.
+MOST_BROADCAST = 500_000
 SEEDS = 0xA0761D6478BD642F
 
 
@@ -132,7 +134,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text="text", doc_id="doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE) -> DataFrame:
     """docs without those that contain a test item; all columns stay."""
     hit = cut(find(docs, benchmark, share=share).select(F.col("doc_id").alias("_hit")).distinct(), "leaks-hit")
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return docs.join(sized(hit, MOST_BROADCAST), F.col("doc_id") == F.col("_hit"), "left_anti")
 
 
 #: The same by counting, in DuckDB SQL.
