@@ -43,13 +43,19 @@ def _kernel(codes: np.ndarray, k: int, canonical: bool) -> np.ndarray:
         return np.zeros(0, np.int64)
     bad = np.concatenate([[0], np.cumsum(codes > 3)])
     good = bad[k:] == bad[:-k]
-    forward = np.zeros(n, np.int64)
-    backward = np.zeros(n, np.int64)
-    for i in range(k):
-        part = codes[i : i + n].astype(np.int64) & 3
-        forward = forward << 2 | part
-        if canonical:
-            backward |= (3 - part) << (2 * i)
+    # One base is joined to 2, 4, 8, ... and k is put together from these by its binary digits.
+    f, b, width = codes.astype(np.int64) & 3, 3 - (codes.astype(np.int64) & 3), 1
+    forward, backward, done = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), 0
+    while True:
+        if k & width:
+            m = len(codes) - done - width + 1
+            forward = forward[:m] << 2 * width | f[done : done + m]
+            backward = b[done : done + m] << 2 * done | backward[:m]
+            done += width
+        if done == k:
+            break
+        m = len(f) - width
+        f, b, width = f[:m] << 2 * width | f[width : width + m], b[width : width + m] << 2 * width | b[:m], 2 * width
     return (np.minimum(forward, backward) if canonical else forward)[good]
 
 
