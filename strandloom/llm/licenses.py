@@ -7,7 +7,8 @@ identifiers is matched against the ordered RULES; the first rule that matches gi
 the sequence's kind, and all that match are listed.
 
 Defined results: null and empty texts have no sentence and the licence 'none'; sentences that are not
-known are skipped; repeated rows each get their row; an empty table gives an empty one.
+known are skipped; repeated rows each get their row, and rows that share a doc_id share their sentences; rows without a
+doc_id have none; an empty table gives an empty one; extra columns are not used.
 """
 
 from __future__ import annotations
