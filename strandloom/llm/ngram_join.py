@@ -5,7 +5,8 @@ c = ceil(percent * (a + b) / (100 + percent)) shingles.
 
 Light sets, of at most `boundary` shingles: all subsets of size c are enumerated for each size b that may link; two sets
 that share one link, with nothing left to verify. Heavy sets: inverted lists from shingle to set are scanned. Each set is
-listed under so many of its smallest hashes that two linked sets must meet in a list. The boundary is chosen by the cost
+listed under so many of its first hashes, in an order that puts common ones last, that two linked sets must meet in a
+list. The boundary is chosen by the cost
 of both ways, from the sizes of the small sets and the lengths of their lists.
 
 Long lists hold either large groups of near copies or a passage that many texts share. Sets in them are listed anew under
@@ -42,9 +43,14 @@ LIGHT_MOST = 28
 LONG_LIST = 64
 #: Ids that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: Leader rounds end when no more pairs than this for each listed set are left, or after MOST_ROUNDS.
-FEW_PAIRS = 4
+#: Leader rounds end when no more pairs than this for each row of a list are left, or after MOST_ROUNDS.
+FEW_PAIRS = 8
 MOST_ROUNDS = 6
+#: Hashes in more prefixes than this are common; so many of them at most are broadcast (8 bytes each).
+COMMON = 8
+MOST_COMMON = 1_000_000
+#: Hashes of sets that a task keeps while it verifies pairs (8 bytes each, and their texts).
+KEPT_HASHES = 4_000_000
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -53,7 +59,7 @@ def shared_at_least(a: int, b: int, percent: int) -> int:
 
 
 def prefix(n: int, percent: int) -> int:
-    """Among so many smallest hashes of a set of n, one is also among those of any set that links."""
+    """Among so many first hashes of a set of n, one is also among those of any set that links."""
     return n - -(-percent * n // 100) + 1
 
 
@@ -64,12 +70,51 @@ def _digests(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FEATURES = "doc_id long, n long, d1 long, d2 long, hashes array<long>"
 
 
-def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, size and digests of the set, and its smallest hashes: the prefix, or the whole set up to LIGHT_MOST."""
+def common_hashes(docs: DataFrame, width: int, percent: int) -> np.ndarray:
+    """Hashes that stand in the prefixes of many texts, ascending: at most MOST_COMMON, those over a power of two of texts.
+
+    They come last in the order from which prefixes are taken. Any such set keeps the join whole, as the order is the
+    same for all texts; this one makes the lists short. Prefixes are taken longer here, as they move on when common
+    hashes leave them.
+    """
+
+    def batches(parts):
+        for part in parts:
+            found = []
+            for t in part.column(0):
+                own = S.of_text(t.as_py(), width)
+                found.append(own[: prefix(len(own), percent) * 3 // 2 + 4])
+            keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counts = docs.select("text").mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = cut(counts.where(F.col("n") > COMMON).withColumn("log", F.floor(F.log2("n")).cast("int")), "join-common")
+    least, total = 64, 0
+    for r in sorted(often.groupBy("log").count().collect(), key=lambda r: -r["log"]):
+        total += r["count"]
+        if total > MOST_COMMON:
+            break
+        least = r["log"]
+    kept = often.where(F.col("log") >= least).select("key").toArrow().column(0).to_numpy()
+    return np.sort(kept.view(np.uint64)) if len(kept) else np.zeros(0, np.uint64)
+
+
+def in_order(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A set's hashes, ascending, with the common ones last."""
+    if not len(common) or not len(own):
+        return own
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    often = common[at] == own
+    return np.concatenate([own[~often], own[often]])
+
+
+def features(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
+    """doc_id, size and digests of the set, and its first hashes in order: the prefix, or the whole set up to LIGHT_MOST."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def batches(parts):
         for part in parts:
-            sets = [S.of_text(t.as_py(), width) for t in part.column(1)]
+            sets = [in_order(S.of_text(t.as_py(), width), shared.value) for t in part.column(1)]
             n = np.array([len(s) for s in sets], np.int64)
             d1, d2, kept = [], [], []
             for s in sets:
@@ -186,15 +231,25 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     @F.pandas_udf("boolean")
     def link(x: pd.Series, y: pd.Series) -> pd.Series:
-        out, last, left = [], None, np.zeros(0, np.uint64)
+        # Near copies come up again and again on either side.
+        sets: dict[str, np.ndarray] = {}
+        held = 0
+        out = []
         for s, t in zip(x, y, strict=True):
-            if s is not last and s != last:
-                last, left = s, S.of_text(s, width)
-            right = S.of_text(t, width)
+            for u in (s, t):
+                if u not in sets:
+                    if held > KEPT_HASHES:
+                        sets, held = {}, 0
+                    own = sets[u] = S.of_text(u, width)
+                    held += len(own)
+            left = sets[s] if s in sets else S.of_text(s, width)
+            right = sets[t]
             both = len(np.intersect1d(left, right, assume_unique=True))
             out.append(100 * both >= percent * (len(left) + len(right) - both) and both > 0)
         return pd.Series(out, dtype=bool)
 
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ends")
+    texts = texts.join(sized(ends, MOST_BROADCAST), "id", "left_semi")
     b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_y")).hint("merge"), "b")
     a = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_x")).hint("merge"), "a")
     return a.where(link("_x", "_y")).select("a", "b")
@@ -204,10 +259,20 @@ def _fits(percent: int):
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
 
+def _meetings(percent: int):
+    """The least number of common hashes in the prefixes of two sets that link: up to the place where the first prefix
+    ends, all common hashes are in both; after it that set has no more than its size less its prefix."""
+    share = lambda c: F.ceil(F.col(c) * percent / 100)
+    return F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.greatest(share("n"), share("m")) + 1
+
+
 def heavy_links(lists: DataFrame, texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
-    """edges (a, b) and those that the lists (key, id, n) add to them, as far as components need them."""
+    """edges (a, b) and those that the lists (key, id, n, long) add to them, as far as components need them.
+
+    long: in how many long lists the set stands that are not among these; -1 in lists of parts.
+    """
     done = None
-    n_sets = lists.select("id").distinct().count()
+    n_rows = lists.count()
     for turn in range(MOST_ROUNDS + 1):
         comps = components(edges)
         known = lists.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -217,10 +282,13 @@ def heavy_links(lists: DataFrame, texts: DataFrame, edges: DataFrame, width: int
         if not left:
             return edges
         known = cut(known.join(open_keys.select("key").hint("merge"), "key", "left_semi"), "join-listed")
-        last = left <= FEW_PAIRS * n_sets or turn == MOST_ROUNDS
+        last = left <= FEW_PAIRS * n_rows or turn == MOST_ROUNDS
         if last:
-            other = known.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            found = known.withColumnRenamed("id", "a").join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _fits(percent))
+            other = known.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("long").alias("long2"))
+            met = known.withColumnRenamed("id", "a").join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _fits(percent))
+            # Every list that two sets of different components share is open, so their meetings can be counted.
+            met = met.groupBy("a", "b").agg(F.count(F.when(F.col("long") >= 0, 1)).alias("k"), F.max(F.col("long") < 0).alias("by_part"), *[F.max(c).alias(c) for c in ("n", "m", "long", "long2")])
+            found = met.where(F.col("by_part") | (F.col("k") + F.least("long", "long2") >= _meetings(percent)))
         else:
             order = F.struct(F.xxhash64("comp", F.lit(turn)).alias("c"), F.xxhash64("id", F.lit(turn)).alias("i"), "id", "n", "comp")
             leaders = cut(known.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("m"), F.col("l.comp").alias("comp2")), "join-leaders")
@@ -239,7 +307,7 @@ def heavy_links(lists: DataFrame, texts: DataFrame, edges: DataFrame, width: int
 def join(docs: DataFrame, *, text="text", doc_id="doc_id", width: int = 3, percent: int = 90) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(features(docs, width, percent), "join-features")
+    rows = cut(features(docs, width, percent, common_hashes(docs, width, percent)), "join-features")
     usable = rows.where("n > 0 and doc_id is not null")
     members = usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("hashes").alias("hashes"))
     classes = cut(members, "join-classes")
@@ -254,9 +322,11 @@ def join(docs: DataFrame, *, text="text", doc_id="doc_id", width: int = 3, perce
     lists = _often(postings.where(F.col("n") >= -(-percent * (light + 1) // 100)), "join-lists")
     listed = cut(lists.select("id").distinct(), "join-listed-ids")
     texts = cut(docs.withColumnRenamed("doc_id", "id").join(sized(listed, MOST_BROADCAST), "id", "left_semi"), "join-texts")
-    crowded = cut(lists.where(F.col("length") > LONG_LIST).select("id").distinct(), "join-crowded")
-    by_part = _often(part_postings(texts.join(sized(crowded, MOST_BROADCAST), "id", "left_semi"), width, percent), "join-parts")
-    lists = lists.where(F.col("length") <= LONG_LIST).select("key", "id", "n").unionByName(by_part.select("key", "id", "n"))
+    crowded = cut(lists.where(F.col("length") > LONG_LIST).groupBy("id").agg(F.count("*").alias("long")), "join-crowded")
+    parts = cut(part_postings(texts.join(sized(crowded.select("id"), MOST_BROADCAST), "id", "left_semi"), width, percent), "join-part-postings")
+    by_part = _often(parts, "join-parts").select("key", "id", "n", F.lit(-1).cast("long").alias("long"))
+    short = lists.where(F.col("length") <= LONG_LIST).join(sized(crowded, MOST_BROADCAST), "id", "left")
+    lists = short.select("key", "id", "n", F.coalesce("long", F.lit(0)).alias("long")).unionByName(by_part)
     comps = components(heavy_links(lists, texts, edges, width, percent))
 
     named = cut(classes.select("n", "d1", "d2", "id", "copies").join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).where("copies > 1 or comp <> id").select("n", "d1", "d2", "comp"), "join-named")
