@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +33,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch: texts of some thousand characters in it stay within a few MB in either process.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to BATCH_ROWS rows, so that tasks hold few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def sized(df: DataFrame, most_rows: int) -> DataFrame:
     """df (written before, so counting is cheap) marked for a broadcast if it has at most most_rows rows, else for a merge join."""
     from pyspark.sql import functions as F

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 NONE = 1 << 30
 SHORT = 64
+#: Bytes of short pieces that are merged at once; their trees take some 60 bytes for each.
+ROW_BYTES = 1 << 19
 #: Pieces whose ids a task keeps, about 200 bytes each. Beyond it the memory starts anew; results don't depend on it.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 #: Rank files above this size are refused, as the ranks are broadcast.
 MOST_RANK_BYTES = 64 << 20
 
@@ -176,7 +178,7 @@ class Merges:
                 for i in which:
                     out[i] = self.encode_long(pieces[i])
             else:
-                step = (1 << 21) // width
+                step = ROW_BYTES // width
                 for a in range(0, len(which), step):
                     part = which[a : a + step]
                     for i, x in zip(part, self.encode_rows([pieces[i] for i in part], width), strict=True):
@@ -206,7 +208,7 @@ class Encoder:
         return b"".join(map(self.merges.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _encoder(shared, pattern: str) -> Encoder:
     return Encoder(shared.value, pattern)
 

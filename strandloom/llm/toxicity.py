@@ -38,7 +38,7 @@ MOST_LABELLED = 20_000
 FIT_SHARE = 60
 THRESHOLD = 0.7
 #: Words whose score a task keeps; beyond it the memory starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
 #: Characters from here on fall into so many classes for the shared counts.
 FIRST_SHARED, SHARED = 0x250, 1024
