@@ -43,7 +43,8 @@ LIGHT_MOST = 28
 LONG_LIST = 64
 #: Ids that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: Leader rounds end when no more pairs than this for each row of a list are left, or after MOST_ROUNDS.
+#: Leader rounds end when no more pairs than this for each row of a list are left, when a round has left over half of
+#: them, or after MOST_ROUNDS.
 FEW_PAIRS = 8
 MOST_ROUNDS = 6
 #: Hashes in more prefixes than this are common; so many of them at most are broadcast (8 bytes each).
@@ -271,7 +272,7 @@ def heavy_links(lists: DataFrame, texts: DataFrame, edges: DataFrame, width: int
 
     long: in how many long lists the set stands that are not among these; -1 in lists of parts.
     """
-    done = None
+    done, before = None, float("inf")
     n_rows = lists.count()
     for turn in range(MOST_ROUNDS + 1):
         comps = components(edges)
@@ -282,7 +283,8 @@ def heavy_links(lists: DataFrame, texts: DataFrame, edges: DataFrame, width: int
         if not left:
             return edges
         known = cut(known.join(open_keys.select("key").hint("merge"), "key", "left_semi"), "join-listed")
-        last = left <= FEW_PAIRS * n_rows or turn == MOST_ROUNDS
+        last = left <= FEW_PAIRS * n_rows or left > before / 2 or turn == MOST_ROUNDS
+        before = left
         if last:
             other = known.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("long").alias("long2"))
             met = known.withColumnRenamed("id", "a").join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _fits(percent))
