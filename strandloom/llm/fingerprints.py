@@ -1,6 +1,6 @@
 """Document fingerprints: a canonical exact digest, by DataFrame functions alone.
 
-canonical() folds a text: full case folding, canonical Unicode equivalence, white space. The digest is two xxhash64
+with_canonical() folds a text: full case folding, canonical Unicode equivalence, white space. The digest is two xxhash64
 values of different seeds, 128 bits. Within equal digests the canonical bytes are compared; should different texts
 share a digest, each gets its place in byte order as a suffix. So equal canonical texts have equal fingerprints and
 different ones different fingerprints.
@@ -11,7 +11,8 @@ canonical order, and if the whole is one character in another form, it becomes t
 unicodedata by rule. Texts under U+0300 skip all this.
 
 Defined results: a null text counts as empty; empty texts share one fingerprint; repeated rows get equal ones;
-an empty table gives an empty one; extra columns pass through fingerprint().
+an empty table gives an empty one; extra columns pass through fingerprint(). In compare_edited() rows without a doc_id
+are ordered among themselves and the last of them has no next.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from ._common import cut
 
 #: White space by Unicode but for the blank.
 OTHER_SPACE = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LATIN_SPACE = r"\t-\r\x85\xa0"
 SEED = "fingerprint"
 #: At most so many blocks of ids stand in the broadcast table of neighbours (3 MB).
 MOST_BLOCKS = 100_000
@@ -72,21 +74,20 @@ def _mapped(text: Column, pairs: dict[str, str]) -> Column:
     return F.when(text.rlike(f"[{kind}]"), F.array_join(F.transform(pieces, lambda x: F.coalesce(_lookup(pairs, x), x)), "")).otherwise(text)
 
 
-def _equivalent(text: Column) -> Column:
-    expanded, single, apart, whole, classes = _tables()
+def _clustered(text: Column) -> Column:
+    """text with each cluster in its canonical form."""
+    expanded, _, apart, whole, classes = _tables()
     multi = {c: d for c, d in apart.items() if c not in expanded}
 
     def cluster(x: Column) -> Column:
         chars = F.split(F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(_lookup(multi, c), c)), ""), "")
         keyed = F.transform(chars, lambda c, i: F.struct(F.coalesce(_lookup(classes, c).cast("int"), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")))
         ordered = F.array_join(F.transform(F.array_sort(keyed), lambda y: y["c"]), "")
-        return F.coalesce(_lookup(whole, ordered), ordered)
+        return F.element_at(F.transform(F.array(ordered), lambda o: F.coalesce(_lookup(whole, o), o)), 1)
 
-    text = _mapped(text, expanded | single)
     marks = _class(classes)
     pieces = F.regexp_extract_all(text, F.lit(f"[^{marks}]+(?![{marks}])|[^{marks}]?[{marks}]+"), F.lit(0))
-    clustered = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"[{marks}]"), cluster(x)).otherwise(x)), "")
-    return F.when(text.rlike(r"\p{M}"), clustered).otherwise(text)
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"[{marks}]"), cluster(x)).otherwise(x)), "")
 
 
 def _ranges(chars) -> list[tuple[int, int]]:
@@ -106,11 +107,29 @@ def _foldings() -> dict[str, str]:
     return {c: c.casefold() for c in every if c == c.lower() != c.casefold()}
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null becomes empty."""
-    folded = _mapped(F.lower(F.coalesce(text, F.lit(""))), _foldings())
-    normal = F.when(folded.rlike(r"[\x{300}-\x{10ffff}]"), _equivalent(folded)).otherwise(folded)
-    return F.btrim(F.regexp_replace(normal, f"[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+", " "))
+def with_canonical(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """rows with the canonical form of text as the column out; null becomes empty.
+
+    One projection for each step, so that no step stands in the plan, or runs, more than once. Texts of Latin-1
+    characters only need no more than the first and the last.
+    """
+    expanded, single, *_ = _tables()
+    c, wide = F.col(out), F.col("_wide")
+    far = {x: y for x, y in _foldings().items() if x > "\xff"}
+    folded = F.lower(F.coalesce(F.col(text), F.lit("")))
+    for x, y in _foldings().items():
+        if x <= "\xff":
+            folded = F.replace(folded, F.lit(x), F.lit(y))
+    squeezed = lambda other: F.regexp_replace(c, f"[{other}][ {other}]*| [ {other}]+", " ")
+    return (
+        rows.withColumn(out, folded)
+        .withColumn("_wide", c.rlike(r"[\x{100}-\x{10ffff}]"))
+        .withColumn(out, F.when(wide, _mapped(c, far)).otherwise(c))
+        .withColumn(out, F.when(wide, _mapped(c, expanded | single)).otherwise(c))
+        .withColumn(out, F.when(wide & c.rlike(r"\p{M}"), _clustered(c)).otherwise(c))
+        .withColumn(out, F.btrim(F.when(wide, squeezed(OTHER_SPACE)).otherwise(squeezed(LATIN_SPACE))))
+        .drop("_wide")
+    )
 
 
 def digest(canon: Column) -> Column:
@@ -149,10 +168,9 @@ def resolved(rows: DataFrame, fp: str, canon: str, clash: DataFrame) -> DataFram
 
 def fingerprint(docs: DataFrame, *, text="text", out="fingerprint", make=digest) -> DataFrame:
     """docs with the column out."""
-    canon = canonical(F.col(text))
-    clash = collisions(docs.select(canon.alias("_canon")), make)
-    rows = docs.withColumn("_canon", canon).withColumn(out, make(F.col("_canon")))
-    return resolved(rows, out, "_canon", clash).drop("_canon")
+    rows = with_canonical(docs, text, "_canon")
+    clash = collisions(rows.select("_canon"), make)
+    return resolved(rows.withColumn(out, make(F.col("_canon"))), out, "_canon", clash).drop("_canon")
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -183,23 +201,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited text has the last half of the code points replaced by as many first ones of the next document.
     An exact digest is all or nothing, so likeness is 1 or 0. An edited text's bytes are compared with its own document's.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    clash = collisions(texts.select(canonical(F.col("text")).alias("_canon")))
-    own = texts.withColumn("_canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("_canon")))
-    own = resolved(own, "fingerprint", "_canon", clash).drop("_canon")
+    texts = with_canonical(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "_canon")
+    clash = collisions(texts.select("_canon"))
+    own = resolved(texts.withColumn("fingerprint", digest(F.col("_canon"))), "fingerprint", "_canon", clash).drop("_canon")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = (
-        with_next(own, ["text", "fingerprint"])
-        .withColumn("n_chars", n.cast("long"))
-        .withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-        .withColumn("_canon", canonical(F.col("text")))
-        .withColumn("_other", canonical(F.col("_edited")))
-        .withColumn("edited_fingerprint", F.when(F.col("_canon") == F.col("_other"), F.col("fingerprint")).otherwise(digest(F.col("_other"))))
-    )
-    rows = resolved(rows, "edited_fingerprint", "_other", clash) if not clash.isEmpty() else rows
+    rows = with_next(own, ["text", "fingerprint"]).withColumn("n_chars", n.cast("long"))
+    rows = rows.withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
+    rows = with_canonical(rows, "_edited", "_other").withColumn("edited_fingerprint", digest(F.col("_other")))
+    # Bytes are compared where the digests are equal; the place behind a digest is not part of it.
+    alike = F.col("edited_fingerprint") == F.substring("fingerprint", 1, 32)
+    rows = with_canonical(rows.withColumn("_own", F.when(alike, F.col("text"))), "_own", "_canon").withColumn("_same", alike & (F.col("_canon") == F.col("_other")))
+    rows = rows.withColumn("edited_fingerprint", F.when(F.col("_same"), F.col("fingerprint")).otherwise(F.col("edited_fingerprint")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        (F.col("_canon") == F.col("_other")).cast("double").alias("near_edited"),
-        (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
+        F.col("_same").cast("double").alias("near_edited"),
+        F.col("fingerprint").eqNullSafe(F.col("next_fingerprint")).cast("double").alias("near_next"),
     )
