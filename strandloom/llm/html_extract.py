@@ -4,12 +4,13 @@ A page is cut into blocks of text, each with the path of the elements around it.
 paths, step by step, and the texts under them. A token's occurrence vector says how often it stands on each page; it is
 kept as a sum of page hashes, which merges by aggregation. Tokens of one host with the same vector are an equivalence
 class; a class is valid if enough of the host's pages have it and its paths nest. Valid classes, nested by their
-paths, are the host's template; between its tokens are slots. The main slot is the template's article or main element, or else the
-deepest template element that holds most of the host's text that no other rule has cut. Where a host has too few pages
-for a template, a page's own elements serve.
+paths, are the host's template; between its tokens are slots. The main slot is the article or main element of the template that
+holds most text, or else the deepest template element that holds most of the host's text that no other rule has cut.
+A page's own article or main element serves only where the template names no slot below body, as on hosts of few
+pages, or where the page doesn't have the slot. Elements that share the slot's path on one page are all taken.
 
 From the slot are left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments, by
-element and by class or id; outside an article also texts of the template itself. Character references are decoded,
+element and by class or id, and texts of the template itself. A page of nothing but such texts keeps them. Character references are decoded,
 white space inside a block becomes one blank, blocks are joined by a line feed; nothing else is cut.
 
 Defined results: null, empty and text-free pages give an empty text; markup that is cut short or unclosed ends with the
@@ -54,6 +55,8 @@ ARTICLE = {"article", "main"}
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEPT_NAMES = 2
+#: A slot that is only this says nothing of where the text stands.
+WHOLE_PAGE = re.compile(r"(html[^/]*)?(/|^|$)(body[^/]*)?$")
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
@@ -73,8 +76,8 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]
     return cut_it, tag in ARTICLE or MAIN_ROLES.get(role) == "main", ".".join([tag, *sorted(names)[:KEPT_NAMES]])
 
 
-def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, cut, in an article) of each block that has text, in page order."""
+def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, bool, bool]]:
+    """(path, text, cut, in an article) of each block that has text, in page order. opened gets the path of each element."""
     out: list[tuple[str, str, bool, bool]] = []
     stack: list[tuple[str, bool, bool, str]] = []  # tag, cut, article, path; of block elements and of those that are cut
     parts: list[str] = []
@@ -135,6 +138,8 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
             flush()
         if not m[3].endswith("/"):
             stack.append((tag, above_cut or is_cut, above_article or main, f"{above_path}/{name}" if above_path else name))
+            if opened is not None:
+                opened.append(stack[-1][3])
     flush()
     return out
 
@@ -160,13 +165,15 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, page, html in zip(part["host"], part["page"], part["html"], strict=True):
                 n: dict[tuple, int] = {}
                 chars: dict[str, int] = {}
-                for path, text, is_cut, _ in blocks(html or ""):
-                    for step in _steps(path):
-                        n[step, None] = n.get((step, None), 0) + 1
-                        chars[step] = chars.get(step, 0) + (0 if is_cut else len(text))
+                opened: list[str] = []
+                for path, text, is_cut, _ in blocks(html or "", opened):
                     if not is_cut:
+                        for step in _steps(path):
+                            chars[step] = chars.get(step, 0) + len(text)
                         n[path, text] = n.get((path, text), 0) + 1
-                rows += [(host, page, p if t is None else None, token_hash(p, t), k, chars[p] if t is None else 0) for (p, t), k in n.items()]
+                for path in opened:
+                    n[path, None] = n.get((path, None), 0) + 1
+                rows += [(host, page, p if t is None else None, token_hash(p, t), k, chars.get(p, 0) if t is None else 0) for (p, t), k in n.items()]
             yield pd.DataFrame(rows, columns=["host", "page", "path", "hash", "n", "chars"])
 
     return pages.mapInPandas(batches, "host string, page long, path string, hash long, n int, chars long")
@@ -185,24 +192,23 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = class_of.where(F.size("elements") > 0)
     every = valid.groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("texts")).alias("texts"))
     total = F.aggregate("elements", F.lit(0).cast("long"), lambda a, x: F.greatest(a, x["chars"]))
-    named = F.filter("elements", lambda x: F.regexp_extract(x["path"], r"([^/.]+)[^/]*$", 1).isin(*ARTICLE))
+    named = F.filter("elements", lambda x: (x["chars"] > 0) & F.regexp_extract(x["path"], r"([^/.]+)[^/]*$", 1).isin(*ARTICLE))
     rich = F.filter("elements", lambda x: (x["chars"] >= F.col("_total") * MOST_TEXT) & (x["chars"] > 0))
     depth = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.size(F.split(x["path"], "/")).alias("d"), x["chars"].alias("c"), x["path"].alias("p"))))["p"]
-    shallow = F.array_min(F.transform(named, lambda x: F.struct(F.size(F.split(x["path"], "/")).alias("d"), (-x["chars"]).alias("c"), x["path"].alias("p"))))["p"]
-    return every.withColumn("_total", total).select("host", F.coalesce(shallow, depth(rich)).alias("main"), "texts")
+    fullest = F.array_min(F.transform(named, lambda x: F.struct((-x["chars"]).alias("c"), F.size(F.split(x["path"], "/")).alias("d"), x["path"].alias("p"))))["p"]
+    return every.withColumn("_total", total).select("host", F.coalesce(fullest, depth(rich)).alias("main"), "texts")
 
 
 def main_text(html: str | None, main: str | None, texts) -> str:
-    found = blocks(html or "")
-    kept = [b for b in found if not b[2]]
-    if any(article for *_, article in kept):
-        return "\n".join(text for _, text, _, article in kept if article)
+    kept = [b for b in blocks(html or "") if not b[2]]
+    slot = []
+    if main and not WHOLE_PAGE.match(main):
+        slot = [b for b in kept if b[0] == main or b[0].startswith(main + "/")]
+    slot = slot or [b for b in kept if b[3]] or kept
     if texts is not None and len(texts):
         template = {int(x) for x in texts}
-        kept = [b for b in kept if token_hash(b[0], b[1]) not in template] or kept
-    if main:
-        kept = [b for b in kept if b[0] == main or b[0].startswith(main + "/")] or kept
-    return "\n".join(text for _, text, _, _ in kept)
+        slot = [b for b in slot if token_hash(b[0], b[1]) not in template] or slot
+    return "\n".join(text for _, text, _, _ in slot)
 
 
 def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> DataFrame:

@@ -201,3 +201,18 @@ def test_html_templates(spark):
     pages = [(k, f"http://h/{k}", PAGE.format(body.format(k))) for k in range(8)]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert out == {k: f"Story {k} begins here and goes on for a while, number {k}.\nSecond part {k}" for k in range(8)}
+
+
+def test_html_templates_of_articles(spark):
+    """The template decides on pages with an article, too: its texts go, and articles beside the slot are not taken."""
+    card = "<div class=more><article><p>Teaser {0}</p></article></div>"
+    article = "<article><h1>Title {0}</h1><p>Story {0} goes on for a while here.</p><p>Written by our staff</p></article>"
+    pages = [(k, f"http://h/{k}", PAGE.format(article.format(k) + card.format(k + 1))) for k in range(8)]
+    few = [(90 + k, f"http://few/{k}", PAGE.format(article.format(k))) for k in range(2)]
+    same = [(100 + k, "http://same/", PAGE.format(article.format(0))) for k in range(4)]
+    odd = [(80, "http://h/odd", "<main><p>Another form of page</p></main>")]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages + few + same + odd, "page_id long, url string, html string")).collect()}
+    want = {k: f"Title {k}\nStory {k} goes on for a while here." for k in range(8)}
+    want |= {90 + k: f"Title {k}\nStory {k} goes on for a while here.\nWritten by our staff" for k in range(2)}
+    want |= {100 + k: "Title 0\nStory 0 goes on for a while here.\nWritten by our staff" for k in range(4)}
+    assert out == want | {80: "Another form of page"}
