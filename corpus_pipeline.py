@@ -23,11 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites stay where they stand first. A document of nothing but such lines goes; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.length(F.btrim("text", F.lit(line_dedup.STRIPPED + "\n"))) == 0)
+    """Lines on many sites stay where they stand first. Every row stays: a document of nothing but such lines keeps them.
+    n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, spare_emptied=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,10 +68,11 @@ def boilerplate(docs: DataFrame, *, text="text", doc_id="doc_id", site="source",
     return cut(estimated.where(sure).select("_h1", "_h2", "_first").unionByName(counted), "line-boilerplate")
 
 
-def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", site="source", min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", site="source", min_sites: int = MIN_SITES, spare_emptied: bool = False) -> DataFrame:
     """docs with the text freed of repeated boilerplate, and the columns n_lines and n_removed.
 
-    n_lines is 0 for a null text. n_removed counts removed lines.
+    n_lines is 0 for a null text. n_removed counts removed lines. With spare_emptied a text that would be left without
+    a line worth comparing keeps all its lines.
     """
     found = boilerplate(docs, text=text, doc_id=doc_id, site=site, min_sites=min_sites)
     gone = (
@@ -88,9 +89,13 @@ def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", site="source",
     clean = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
+    n_removed = F.coalesce(F.size("_drop"), F.lit(0))
+    if spare_emptied:
+        emptied = F.col("_drop").isNotNull() & (F.length(F.btrim(clean, F.lit(STRIPPED + "\n"))) == 0)
+        clean, n_removed = F.when(emptied, F.col(text)).otherwise(clean), F.when(emptied, 0).otherwise(n_removed)
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
+        .withColumn("n_removed", n_removed.cast("long"))
         .withColumn(text, clean)
         .drop("_id", "_drop")
     )
