@@ -44,7 +44,7 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = (
     Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@.*\.[A-Za-z]{2,}$", r"(?i)@(gmail|yahoo|outlook|hotmail|mail[0-9]*|proton|gmx|web)\b|\.(com|org|net|edu|de|fr|es)$", r"(?i)\b(e-?mail|contact|write|reach|courriel|correo)\b", r"(?i)\b(noreply|example only|placeholder)\b", "@", True),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", rf"^{OCTET}(?:\.{OCTET}){{3}}$", r"^(10|127|192\.168|172\.(1[6-9]|2[0-9]|3[01]))\.", r"(?i)\b(ip|host|server|address|login|from)\b", r"(?i)\b(version|release|v|section)\b", ".", True),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}$", r"^[3456]", r"(?i)\b(card|visa|master|credit|debit|pay|karte|carte|tarjeta)\b", r"(?i)\b(isbn|order|tracking|serial)\b", "[0-9]{2}", True),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}$", r"^[3456]", r"(?i)\b(card|visa|master|credit|debit|pay|karte|carte|tarjeta)\b", r"(?i)\b(isbn|order|tracking|serial)\b", "[0-9][ -]?[0-9]", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"^\+[1-9][0-9]{0,2}[ .(-]", r"^\+(1|33|34|44|49)\b", r"(?i)\b(phone|tel|call|mobile|fax|contact|reach)\b", r"(?i)\b(score|delta|gain)\b", "+", True),
     Kind("spelt_email", rf"(?i)\b[a-z0-9._-]{{2,64}} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{{2,63}} ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{{2,6}}\b", r"[\[(]at[\])]", r"(?i)(com|org|net|edu|de|fr|es)$", r"(?i)\b(e-?mail|contact|write|reach|courriel|correo)\b", r"(?i)\b(look|meet|arrive)\b", "(?i)at[ )\\]]"),
     Kind("local_phone", r"(?<![0-9+(.-])(?<![0-9+] )(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"^\(?[2-9][0-8][0-9]\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$", r"\b555\b|^\(", r"(?i)\b(phone|tel|call|mobile|fax|contact|reach)\b", r"(?i)\b(isbn|order|part|serial|version)\b", "[0-9]{3}[ .-][0-9]{4}"),
