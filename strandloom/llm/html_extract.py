@@ -43,24 +43,39 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "noscript", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "button", "template"}
-CUT = {"nav", "footer", "aside", "form", "menu", "noscript", "template", "button", "select", "dialog", "head", "svg", "object", "audio", "video", "canvas", "map"}
+CUT = {"nav", "footer", "aside", "form", "menu", "noscript", "template", "button", "select", "dialog", "svg", "object", "audio", "video", "canvas", "map"}
 #: Words of a class or id that name what is not the article.
 CUT_NAMES = re.compile(
     r"^(ads?|advert.*|sponsor.*|promo.*|banner.*|cookies?|consent|gdpr|notices?|alerts?|sidebars?|aside|rail|menus?|nav|navbar|navigation|breadcrumbs?|masthead|topbar|footer|comments?|commentlist|respond|replies|disqus|related|recommended|share|sharing|social|subscribe|newsletter|popup|modal|overlay|widgets?|login|signup|search|pagination|pager|toolbar|skip|dfp)$"
 )
-HEADER_NAMES = re.compile(r"^(header|head|site-?header|page-?header)$")
+HEADER_NAMES = re.compile(r"^(header|head|siteheader|pageheader)$")
+#: Parts that may stand beside such a word in a class or id; any other part names something else (share-price, content-sidebar-wrap).
+QUALIFIERS = re.compile(
+    r"^(site|page|main|top|bottom|left|right|primary|secondary|global|mobile|desktop|sticky|box|block|bar|list|area|section|links?|buttons?|icons?|form|unit|slot|[0-9x]*)$"
+)
 MAIN_ROLES = {"navigation": "cut", "banner": "cut", "contentinfo": "cut", "complementary": "cut", "search": "cut", "form": "cut", "alert": "cut", "dialog": "cut", "main": "main"}
 ARTICLE = {"article", "main"}
 #: Elements that a following block or sibling closes by itself.
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEPT_NAMES = 2
+#: How surely a block is cut. An article or main element lifts a cut that it inherits from a name alone.
+LIFTED, BY_NAME, BY_ELEMENT = 1, 2, 3
 #: A slot that is only this says nothing of where the text stands.
 WHOLE_PAGE = re.compile(r"(html[^/]*)?(/|^|$)(body[^/]*)?$")
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
-    """(cut, main, name) of an element."""
+def _named(names: list[str], pattern: re.Pattern) -> bool:
+    """Whether a whole class or id says what pattern names: one of its parts does and the others are such words or qualifiers."""
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        if any(map(pattern.match, parts)) and all(pattern.match(p) or CUT_NAMES.match(p) or QUALIFIERS.match(p) for p in parts):
+            return True
+    return False
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> tuple[int, bool, str]:
+    """(cut, main, name) of an element; cut is BY_ELEMENT, BY_NAME or 0."""
     names, role = [], ""
     if "=" in attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
@@ -68,18 +83,21 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]
                 role = (a or b or c).strip().lower()
             else:
                 names += (a or b or c).lower().split()
-    words = [w for n in names for w in (n, *re.split(r"[-_]+", n))]
-    cut_it = tag in CUT or MAIN_ROLES.get(role) == "cut" or any(CUT_NAMES.match(w) for w in words)
-    cut_it = cut_it or not in_article and (tag == "header" or any(HEADER_NAMES.match(w) for w in words))
+    cut_it = 0
     if tag in ("html", "body", "article", "main"):
-        cut_it = False
+        pass
+    elif tag in CUT or MAIN_ROLES.get(role) == "cut" or not in_article and tag == "header":
+        cut_it = BY_ELEMENT
+    elif names and (_named(names, CUT_NAMES) or not in_article and _named(names, HEADER_NAMES)):
+        cut_it = BY_NAME
     return cut_it, tag in ARTICLE or MAIN_ROLES.get(role) == "main", ".".join([tag, *sorted(names)[:KEPT_NAMES]])
 
 
-def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, cut, in an article) of each block that has text, in page order. opened gets the path of each element."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, cut, article, path; of block elements and of those that are cut
+def _levels(html: str, opened: list[str] | None) -> list[tuple[str, str, int, bool]]:
+    """(path, text, level of its cut, in an article) of each block that has text, in page order. opened gets the path of
+    each element."""
+    out: list[tuple[str, str, int, bool]] = []
+    stack: list[tuple[str, int, bool, str]] = []  # tag, cut, article, path; of block elements and of those that are cut
     parts: list[str] = []
 
     def flush() -> None:
@@ -87,7 +105,7 @@ def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, b
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, is_cut, article, path = stack[-1] if stack else ("", False, False, "")
+                _, is_cut, article, path = stack[-1] if stack else ("", 0, False, "")
                 out.append((path, text, is_cut, article))
 
     def pop(n: int) -> None:
@@ -123,7 +141,11 @@ def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, b
             continue
         if tag in VOID:
             continue
-        above_cut, above_article, above_path = stack[-1][1:] if stack else (False, False, "")
+        if tag == "head":
+            # Its texts are all RAW; what else it seems to hold stands in the body, as </head> may be left out.
+            flush()
+            continue
+        above_cut, above_article, above_path = stack[-1][1:] if stack else (0, False, "")
         is_cut, main, name = _kind(tag, m[3], above_article)
         if tag in BLOCK:
             flush()
@@ -131,19 +153,34 @@ def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, b
                 stack.pop()
             if stack and stack[-1][0] in SIBLINGS.get(tag, ()):
                 stack.pop()
-            above_cut, above_article, above_path = stack[-1][1:] if stack else (False, False, "")
+            above_cut, above_article, above_path = stack[-1][1:] if stack else (0, False, "")
         elif not is_cut:
             continue
         elif not m[3].endswith("/"):
             flush()
+        if main and above_cut == BY_NAME and not above_article:
+            above_cut = LIFTED
         if not m[3].endswith("/"):
-            stack.append((tag, above_cut or is_cut, above_article or main, f"{above_path}/{name}" if above_path else name))
+            stack.append((tag, max(above_cut, is_cut), above_article or main, f"{above_path}/{name}" if above_path else name))
             if opened is not None:
                 opened.append(stack[-1][3])
     flush()
     return out
 
 
+def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, bool, bool]]:
+    """(path, text, cut, in an article) of each block that has text, in page order. opened gets the path of each element.
+
+    Articles below a name that is cut serve where no other article stands; what is cut by a name serves where else all
+    would be cut."""
+    found = _levels(html, opened)
+    most = 0
+    if not any(level == 0 and article for _, _, level, article in found):
+        levels = {level for _, _, level, _ in found}
+        most = LIFTED if LIFTED in levels else 0 if 0 in levels else BY_NAME
+    return [(path, text, level > most, article) for path, text, level, article in found]
+
+
 def _steps(path: str) -> list[str]:
     names = path.split("/") if path else []
     return ["/".join(names[:k]) for k in range(1, len(names) + 1)]
