@@ -1,15 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of words as character sequences, one of toxic and one of ordinary labelled texts, are interpolated
-Kneser-Ney models of ORDER characters; below the pairs of characters both back off to the same counts, which come from
-all documents. So a word or ending never seen costs both the same, and only the parts that one class uses speak.
+Kneser-Ney models of ORDER characters. Below ORDER both back off to the same model of the words of all documents, of 4,
+3 and 2 characters. So a word or ending never seen costs both the same, only the parts that one class uses speak, and
+how much they say is smoothed by how common they are anywhere.
 A word's score is the difference of its log-likelihoods divided by its length. A text is judged by the mean over its
 words and by the means of its highest few; a logistic model, fitted on labelled texts that the two models have not
 seen, turns these into a score from 0 to 1.
 
-At most MOST_LABELLED labelled rows are used, the first in the order of a hash of doc_id; the shared counts and the
-scores cover all documents. Only n-grams, pair counts and the labelled rows' features reach the driver: all bounded,
-by the sample or by the number of character classes.
+The class counts come from all usable labelled rows that fit the models, the shared counts and the scores from all
+documents. The logistic model has five weights and takes at most MOST_LABELLED of the other labelled rows, the first in
+the order of a hash of doc_id. All counts are Spark aggregations; the distinct n-grams with their counts reach the
+driver and their log-ratios the workers, so these grow with the number of different n-grams of the labelled rows.
 
 Defined results: null and empty texts, and texts without words, have the features 0 and thus a low score; labels that
 repeat a doc_id count as toxic if one says so; null labels are not used; without labelled rows of both classes the
@@ -29,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, sized
 
 ORDER = 5
 DISCOUNT = 0.75
+#: Rows of the logistic model alone.
 MOST_LABELLED = 20_000
-#: A tenth and a half of the labelled rows fit the models, the others the logistic model.
+#: Labels that are broadcast; beyond it documents and labels are joined by a merge.
+MOST_BROADCAST = 1_000_000
+#: So many of a hundred labelled rows fit the models, the others the logistic model.
 FIT_SHARE = 60
 THRESHOLD = 0.7
 #: Words whose score a task keeps; beyond it the memory starts anew.
@@ -57,33 +62,77 @@ def grams(word: str):
         yield padded[max(0, i - ORDER + 1) : i + 1]
 
 
-def pair_counts(docs: DataFrame, text="text") -> DataFrame:
-    """(pair, n): how often one class of characters follows another inside the words of all documents."""
+BITS = 11
+LOW = (1 << BITS) - 1
+BOUNDARY = 0x20
 
-    def batches(parts):
-        total = np.zeros(CLASSES * CLASSES, np.int64)
-        for part in parts:
-            for t in part.column(0):
-                folded = (t.as_py() or "").lower()
-                for a in range(0, len(folded), 1 << 20):
-                    codes = _classes(np.frombuffer(folded[max(0, a - 1) : a + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
-                    keys, n = np.unique(codes[:-1] * CLASSES + codes[1:], return_counts=True)
-                    total[keys] += n
-        keys = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], names=["pair", "n"])
 
-    return docs.select(text).mapInArrow(batches, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+@lru_cache(None)
+def _class_of() -> np.ndarray:
+    """The class of each code point, BOUNDARY for those that stand in no word."""
+    out = np.full(0x110000, BOUNDARY, np.int64)
+    for m in WORD.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = _classes(np.arange(m.start(), m.end()))
+    return out
+
+
+def _keys(text: str) -> np.ndarray:
+    """The four-character windows of the text's words, ^ and $ as BOUNDARY, 11 bits a character; a word of one character
+    is a window with 0 before it."""
+    c = _class_of()[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    inner = c[1:-1] != BOUNDARY
+    three = (c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:]
+    alone = three[inner & (c[:-2] == BOUNDARY) & (c[2:] == BOUNDARY)]
+    four = (three[:-1] << BITS) | c[3:]
+    return np.concatenate([four[inner[:-1] & inner[1:]], alone])
+
 
+def shared_counts(docs: DataFrame, text="text") -> DataFrame:
+    """(key, n): how often each four-character window stands in the words of all documents."""
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> DataFrame:
-    """(doc_id, text, toxic, fits): the labelled rows that are learnt from. usable restricts them, by doc_id."""
+    def batches(parts):
+        kept, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+
+        def merged():
+            keys = np.concatenate([kept[0], *(k for k, _ in waiting)])
+            found, at = np.unique(keys, return_inverse=True)
+            n = np.zeros(len(found), np.int64)
+            np.add.at(n, at, np.concatenate([kept[1], *(m for _, m in waiting)]))
+            return found, n
+
+        for part in parts:
+            texts, size = [], 0
+            for t in [*part.column(0), None]:
+                value = None if t is None else t.as_py()
+                if value:
+                    texts.append(value.lower())
+                    size += len(value)
+                # A window of few texts at a time, so that a task holds some MB.
+                if texts and (t is None or size > 1 << 20):
+                    waiting.append(np.unique(_keys("\n".join(texts)), return_counts=True))
+                    texts, size = [], 0
+            if sum(len(k) for k, _ in waiting) > 1 << 20:
+                kept = merged()
+                waiting = []
+        kept = merged()
+        for a in range(0, len(kept[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in kept], names=["key", "n"])
+
+    return docs.select(text).mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, toxic) of all labelled rows that fit the models, and of the sample of the others that fits the
+    logistic model. usable restricts both, by doc_id."""
     marks = labels.where("doc_id is not null and toxic is not null")
     if usable is not None:
         marks = marks.where(usable)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED), "toxicity-labels")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return cut(rows.withColumn("fits", F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(100)) < FIT_SHARE), "toxicity-labelled")
+    marks = cut(marks.withColumn("fits", F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(100)) < FIT_SHARE), "toxicity-labels")
+    texts = docs.select("doc_id", "text")
+    sample = marks.where("not fits").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).select("doc_id", "toxic")
+    fitting = texts.join(sized(marks.where("fits").select("doc_id", "toxic"), MOST_BROADCAST), "doc_id")
+    return fitting, cut(texts.join(F.broadcast(cut(sample, "toxicity-sample")), "doc_id"), "toxicity-labelled")
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -106,52 +155,76 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return per_word.mapInPandas(split, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
 
 
-class Side:
-    """One class: Kneser-Ney counts of its n-grams, by the number of different characters before them below ORDER."""
-
-    def __init__(self, top: dict[str, int]):
-        counts = dict(top)
-        for length in range(ORDER, 3, -1):
-            before = Counter(g[1:] for g in counts if len(g) == length)
-            counts.update((g, n) for g, n in before.items() if g[0] != "^")
-        self.counts = counts
-        self.total: Counter = Counter()
-        self.kinds: Counter = Counter()
-        for g, n in counts.items():
-            self.total[g[:-1]] += n
-            self.kinds[g[:-1]] += 1
-
-
-def log_ratios(counts: list[tuple[int, str, int]], pairs: dict[int, int]) -> tuple[dict[str, float], dict[str, float]]:
-    """(of n-grams, of contexts): the log-ratio of the classes for a character after a context, and what an
-    unknown character after it adds to the ratio of the shorter context."""
-    sides = [Side({g: n for y, g, n in counts if (y > 0) == bool(k)}) for k in (0, 1)]
-    after: Counter = Counter()
-    for pair, n in pairs.items():
-        after[pair // CLASSES] += n
-
-    def shared(g: str) -> float:
-        a, b = (int(_classes(np.array([ord(c) if c not in "^$" else 0x20]))[0]) for c in g[-2:].rjust(2))
-        return (pairs.get(a * CLASSES + b, 0) + 1) / (after[a] + CLASSES)
-
-    @lru_cache(None)
-    def p(k: int, g: str) -> float:
-        if len(g) <= 2:
-            return shared(g)
-        side, h = sides[k], g[:-1]
-        total = side.total.get(h, 0)
-        below = p(k, g[1:])
-        if not total:
-            return below
-        return (max(side.counts.get(g, 0) - DISCOUNT, 0) + DISCOUNT * side.kinds[h] * below) / total
-
-    known = sides[0].counts.keys() | sides[1].counts.keys()
-    ratio = {g: math.log(p(1, g) / p(0, g)) for g in known if len(g) > 2}
-    back = {}
-    for h in sides[0].total.keys() | sides[1].total.keys():
-        if len(h) > 1:
-            weight = [math.log(DISCOUNT * s.kinds[h] / s.total[h]) if s.total.get(h) else 0.0 for s in sides]
-            back[h] = weight[1] - weight[0]
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of n and the number of rows of each."""
+    found, at, rows = np.unique(keys, return_inverse=True, return_counts=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, at, n)
+    return found, sums, rows
+
+
+class Shared:
+    """The model that both classes back off to: Kneser-Ney over the four-character windows of all documents."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.levels = {}
+        alone = keys >> 3 * BITS == 0
+        raw, raw_n = keys[alone], n[alone]
+        keys, n = keys[~alone], n[~alone]
+        for length in (4, 3, 2):
+            self.levels[length] = (dict(zip(keys.tolist(), n.tolist(), strict=True)), self._contexts(keys >> BITS, n))
+            # Below: how many different characters stand before; at a word's start nothing does, and counts stay counts.
+            first = keys >> (length - 1) * BITS == BOUNDARY
+            lower, _, kinds = _sums(keys & ((1 << (length - 1) * BITS) - 1), n)
+            start = _sums(np.concatenate([keys[first] >> BITS, raw]), np.concatenate([n[first], raw_n])) if length > 2 else (raw[:0], n[:0])
+            raw, raw_n = raw[:0], raw_n[:0]
+            keys, n = np.concatenate([lower, start[0]]), np.concatenate([kinds, start[1]])
+        self.single, self.all = dict(zip(keys.tolist(), n.tolist(), strict=True)), int(n.sum())
+
+    @staticmethod
+    def _contexts(keys: np.ndarray, n: np.ndarray) -> dict[int, tuple[int, int]]:
+        found, sums, rows = _sums(keys, n)
+        return dict(zip(found.tolist(), zip(sums.tolist(), rows.tolist(), strict=True), strict=True))
+
+    def p(self, g: str) -> float:
+        """Of the last character of g after the others, at most four in all."""
+        key = 0
+        for c in _classes(np.array([ord(c) if c not in "^$" else BOUNDARY for c in g])).tolist():
+            key = key << BITS | c
+        out = (self.single.get(key & LOW, 0) + 1) / (self.all + CLASSES)
+        for length in range(2, len(g) + 1):
+            own = key & ((1 << length * BITS) - 1)
+            counts, contexts = self.levels[length]
+            found = contexts.get(own >> BITS)
+            if found:
+                out = (max(counts.get(own, 0) - DISCOUNT, 0) + DISCOUNT * found[1] * out) / found[0]
+        return out
+
+
+def log_ratios(counts: list[tuple[int, str, int]], shared: Shared) -> tuple[dict[str, float], dict[str, float]]:
+    """(of n-grams, of contexts): the log-ratio of the classes for a character after a context, and for an unknown
+    character after it, where both back off to the same probability."""
+    sides: list[dict[str, int]] = [{}, {}]
+    totals: list[dict[str, list[int]]] = [{}, {}]
+    for y, g, n in counts:
+        if len(g) > 2:
+            k = int(y > 0)
+            sides[k][g] = sides[k].get(g, 0) + n
+    for side, total in zip(sides, totals, strict=True):
+        for g, n in side.items():
+            x = total.setdefault(g[:-1], [0, 0])
+            x[0] += n
+            x[1] += 1
+    ratio, back = {}, {}
+    for g in sides[0].keys() | sides[1].keys():
+        below, ps = shared.p(g[1:]), []
+        for side, total in zip(sides, totals, strict=True):
+            x = total.get(g[:-1])
+            ps.append((max(side.get(g, 0) - DISCOUNT, 0) + DISCOUNT * x[1] * below) / x[0] if x else below)
+        ratio[g] = math.log(ps[1] / ps[0])
+    for h in totals[0].keys() | totals[1].keys():
+        weight = [math.log(DISCOUNT * x[1] / x[0]) if (x := total.get(h)) else 0.0 for total in totals]
+        back[h] = weight[1] - weight[0]
     return ratio, back
 
 
@@ -160,14 +233,8 @@ class Scorer:
         self.ratio, self.back, self.known = ratio, back, {}
 
     def gram(self, g: str) -> float:
-        add = 0.0
-        while len(g) > 2:
-            x = self.ratio.get(g)
-            if x is not None:
-                return add + x
-            add += self.back.get(g[:-1], 0.0)
-            g = g[1:]
-        return add
+        x = self.ratio.get(g)
+        return self.back.get(g[:-1], 0.0) if x is None else x
 
     def word(self, w: str) -> float:
         s = self.known.get(w)
@@ -219,21 +286,21 @@ def _scorer(tables) -> Scorer:
 def score(docs: DataFrame, labels: DataFrame, *, text="text", usable: Column | None = None, out="score") -> DataFrame:
     """docs with the column out; labels: (doc_id, toxic)."""
     spark = docs.sparkSession
-    rows = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, usable)
-    counts = [tuple(r) for r in gram_counts(rows.where("fits")).collect()]
-    shares = {r["toxic"] > 0 for r in rows.where("fits").select("toxic").distinct().collect()}
-    checks = {r["toxic"] > 0 for r in rows.where("not fits").select("toxic").distinct().collect()}
-    if len(shares) < 2 or len(checks) < 2:
+    fitting, sample = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, usable)
+    checks = {r["toxic"] > 0 for r in sample.select("toxic").distinct().collect()}
+    counts = [tuple(r) for r in gram_counts(fitting).collect()] if len(checks) == 2 else []
+    if len({y > 0 for y, _, _ in counts}) < 2:
         return docs.withColumn(out, F.lit(0.0))
-    pairs = {r["pair"]: r["n"] for r in pair_counts(docs, text).collect()}
-    tables = spark.sparkContext.broadcast(log_ratios(counts, pairs))
+    found = shared_counts(docs, text).toPandas()
+    shared = Shared(found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    tables = spark.sparkContext.broadcast(log_ratios(counts, shared))
 
     @F.pandas_udf("array<double>")
     def features(texts: pd.Series) -> pd.Series:
         scorer = _scorer(tables)
         return pd.Series([scorer.features(t) for t in texts], dtype=object)
 
-    seen = rows.where("not fits").select("toxic", features("text").alias("x")).collect()
+    seen = sample.select("toxic", features("text").alias("x")).collect()
     mean, spread, weights = logistic(np.array([r["x"] for r in seen]), np.array([float(r["toxic"] > 0) for r in seen]))
     linear = F.lit(float(weights[-1]))
     for i in range(len(FEATURES)):
