@@ -9,13 +9,12 @@ listed under so many of its first hashes, in an order that puts common ones last
 list. The boundary is chosen by the cost
 of both ways, from the sizes of the small sets and the lengths of their lists.
 
-Long lists hold either large groups of near copies or a passage that many texts share. Sets in them are listed anew under
-hashes of parts: by size, shingles are dealt to one part more than two linked sets can differ, so one part at least is
-equal in both. Texts that only share a passage rarely agree on a part.
-
-No list is turned into all its pairs: each set is compared with its list's leader, texts known to be in one component
-are not compared, and this is repeated; at last the pairs of different components that are left in the lists, which
-are few, are all verified. So no component depends on chance, only the number of comparisons does.
+Lists that hold the same sets count as one. Short lists give their pairs, if the sets meet in as many lists as linked
+ones must. Long lists hold either large groups of near copies or a passage that many texts share; there each set is
+compared with one leader only. Two sets of the list that link, and are not both linked with the leader, differ from it in
+partly the same hashes. So each set's difference from the leader, rare hashes first, is listed in turn, and the next
+round scans these inverted lists. Copies with edits of their own and texts that only share a passage meet no more there.
+No list is turned into all its pairs, and no link depends on chance.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; rows that
 repeat a doc_id are one vertex; rows with a null doc_id keep their n_shingles and link with nothing; equal texts are
@@ -39,19 +38,25 @@ from .components import components
 
 #: Sets above this size are never enumerated; it bounds a set's subsets.
 LIGHT_MOST = 28
-#: Lists longer than this are listed anew by parts.
-LONG_LIST = 64
+#: Lists with at most so many pairs to compare for each set give all of them; in others each set is compared with the leader.
+SHORT_LIST = 8
+#: What a set is in a list of differences from a leader: not linked with it, linked, or not linked and of use for near sets alone.
+CORE, NEAR, TAIL = 0, 1, 2
 #: Ids that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: Leader rounds end when no more pairs than this for each row of a list are left, when a round has left over half of
-#: them, or after MOST_ROUNDS.
-FEW_PAIRS = 8
-MOST_ROUNDS = 6
+#: When no more pairs than this are left for each row of the first lists, or after so many rounds, all lists give their
+#: pairs; no link is lost either way.
+FEW_PAIRS = 4
+MOST_ROUNDS = 8
+#: In groups of more sets than CROWDED, hashes in more than one of CROWDED_SHARE differences go last. There are at most
+#: CROWDED_SHARE times as many of them as a difference lists.
+CROWDED = 64
+CROWDED_SHARE = 6
+#: Comparisons with one leader in one group of rows; leaders with more are dealt out.
+PER_SALT = 500
 #: Hashes in more prefixes than this are common; so many of them at most are broadcast (8 bytes each).
 COMMON = 8
 MOST_COMMON = 1_000_000
-#: Hashes of sets that a task keeps while it verifies pairs (8 bytes each, and their texts).
-KEPT_HASHES = 4_000_000
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -133,6 +138,21 @@ def features(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
     return docs.select("doc_id", "text").mapInArrow(batches, FEATURES)
 
 
+def sets(docs: DataFrame, ids: DataFrame, width: int, common: np.ndarray) -> DataFrame:
+    """(id, hashes): the whole sets of some documents, in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def batches(parts):
+        for part in parts:
+            found = [in_order(S.of_text(t.as_py(), width), shared.value) for t in part.column(1)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "hashes"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(ids, MOST_BROADCAST), "id", "left_semi")
+    return texts.mapInArrow(batches, "id long, hashes array<long>")
+
+
 def partner_sizes(n: int, percent: int) -> range:
     return range(-(-percent * n // 100), 100 * n // percent + 1)
 
@@ -186,130 +206,164 @@ def light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def _often(postings: DataFrame, name: str) -> DataFrame:
-    """The postings (key, id, n) of lists with two sets at least, with the list's length."""
-    lengths = cut(postings.groupBy("key").agg(F.count("*").alias("length")).where("length > 1"), name)
-    return cut(postings.join(lengths.hint("merge"), "key"), name)
+    """The postings (key, id, n) of lists with two sets at least."""
+    often = cut(postings.groupBy("key").agg(F.count("*").alias("length")).where("length > 1").select("key"), name)
+    return cut(postings.join(often.hint("merge"), "key"), name)
+
 
+def distinct_lists(lists: DataFrame, name: str) -> DataFrame:
+    """lists (key, id, n, comp, role, pos, differ) with their length, weight and work. Of lists with the same sets one stays,
+    whose weight is their number, with the first place of each set in any; lists without a pair to compare go.
 
-def _size_groups(most: int, percent: int) -> list[int]:
-    """Upper bounds of size groups such that linked sets are in the same or in neighbouring groups."""
-    ends = [0]
-    while ends[-1] < most:
-        low = ends[-1] + 1
-        ends.append(100 * low // percent)
-    return ends
+    Two lists are the same if four sums of 32-bit hashes of their ids agree. Work is the number of pairs to compare:
+    none of two near sets, nor of a tail but with a near set.
+    """
+    h = [F.xxhash64(F.lit(seed), "id") for seed in (0, 1)]
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate([y for x in h for y in (x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))])]
+    counts = [F.count_if(F.col("role") == role).alias(c) for role, c in ((CORE, "core"), (NEAR, "near"), (TAIL, "tail"))]
+    signed = lists.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high"), *counts, *sums)
+    work = F.col("core") * (F.col("core") - 1) / 2 + F.col("near") * (F.col("core") + F.col("tail"))
+    signed = cut(signed.where((F.col("low") != F.col("high")) & (work > 0)).withColumn("work", work), name)
+    same = ["length", "s0", "s1", "s2", "s3"]
+    first = signed.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("weight"), F.max("work").alias("work"))
+    kept = signed.select("key", *same).join(first.hint("merge"), same).select("key", "first", "length", "weight", "work")
+    out = lists.join(kept.hint("merge"), "key")
+    least = [F.min(c).alias(c) for c in ("n", "comp", "role", "pos", "differ", "length", "weight", "work")]
+    return cut(out.groupBy(F.col("first").alias("key"), "id").agg(*least), name)
+
+
+def leaders(lists: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(a, b): each set of a list with the list's leader b, the one of the highest rank by crowd (id, rank).
+
+    Among near copies it should be one with few edits of its own, so that many link with it and the others' differences
+    from it are small.
+    """
+    led = lists.join(crowd.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("rank", "n", F.xxhash64("id").alias("h"), "id")).alias("l"))
+    return lists.join(led.select("key", F.col("l.id").alias("b")).hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def part_postings(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, id, n): each set under the hashes of its parts, once for its size group and the next, once for the one before and its own."""
+def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, k, ...): pairs of different components in one list whose sizes may link, and in how many lists they meet.
 
-    def batches(parts):
-        for part in parts:
-            keys, ids, sizes = [], [], []
-            for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                own = S.of_text(t.as_py(), width)
-                ends = _size_groups(2 * len(own) + 10, percent)
-                group = int(np.searchsorted(ends, len(own)))
-                with np.errstate(over="ignore"):
-                    for g in (group - 1, group):
-                        if g < 1:
-                            continue
-                        n_parts = 2 * ends[g + 1] * (100 - percent) // (100 + percent) + 1
-                        which = (S.mix(own ^ np.uint64(g)) % np.uint64(n_parts)).astype(np.int64)
-                        sums = np.zeros(n_parts, np.uint64)
-                        np.add.at(sums, which, S.mix(own))
-                        keys.append(S.mix(S.mix(sums ^ np.uint64(g << 32)) + np.arange(n_parts, dtype=np.uint64)))
-                        ids.append(np.full(n_parts, i, np.int64))
-                        sizes.append(np.full(n_parts, len(own), np.int64))
-            none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k.view(np.int64) for k in keys] + none)), pa.array(np.concatenate(ids + none)), pa.array(np.concatenate(sizes + none))], names=["key", "id", "n"])
-
-    return texts.select("id", "text").mapInArrow(batches, "key long, id long, n long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-
-    @F.pandas_udf("boolean")
-    def link(x: pd.Series, y: pd.Series) -> pd.Series:
-        # Near copies come up again and again on either side.
-        sets: dict[str, np.ndarray] = {}
-        held = 0
-        out = []
-        for s, t in zip(x, y, strict=True):
-            for u in (s, t):
-                if u not in sets:
-                    if held > KEPT_HASHES:
-                        sets, held = {}, 0
-                    own = sets[u] = S.of_text(u, width)
-                    held += len(own)
-            left = sets[s] if s in sets else S.of_text(s, width)
-            right = sets[t]
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            out.append(100 * both >= percent * (len(left) + len(right) - both) and both > 0)
-        return pd.Series(out, dtype=bool)
-
-    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ends")
-    texts = texts.join(sized(ends, MOST_BROADCAST), "id", "left_semi")
-    b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_y")).hint("merge"), "b")
-    a = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_x")).hint("merge"), "a")
-    return a.where(link("_x", "_y")).select("a", "b")
-
-
-def _fits(percent: int):
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    Where sets stand with their difference from a leader, a pair that links has its first common hash so early in both
+    that the hashes after it suffice.
+    """
+    own = ["n", "comp", "role", "pos", "differ", "long"]
+    one = lists.select("key", "weight", F.col("id").alias("a"), *own)
+    two = lists.select("key", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in own])
+    fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    roles = ((F.col("role") == CORE) & (F.col("role2") == CORE)) | ((F.col("role") == NEAR) != (F.col("role2") == NEAR))
+    shared = F.ceil((F.col("differ") + F.col("differ2") - F.floor((100 - percent) * (F.col("n") + F.col("n2")) / (100 + percent))) / 2)
+    early = (F.col("pos") <= F.col("differ") - shared) & (F.col("pos2") <= F.col("differ2") - shared)
+    met = one.join(two.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits & roles & F.coalesce(early, F.lit(True)))
+    return met.groupBy("a", "b").agg(F.sum("weight").alias("k"), *[F.max(c).alias(c) for c in ("n", "n2", "long", "long2")])
 
 
 def _meetings(percent: int):
     """The least number of common hashes in the prefixes of two sets that link: up to the place where the first prefix
     ends, all common hashes are in both; after it that set has no more than its size less its prefix."""
     share = lambda c: F.ceil(F.col(c) * percent / 100)
-    return F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.greatest(share("n"), share("m")) + 1
+    return F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(share("n"), share("n2")) + 1
 
 
-def heavy_links(lists: DataFrame, texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
-    """edges (a, b) and those that the lists (key, id, n, long) add to them, as far as components need them.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, aside: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b, led) with n, the size of a's set, linked, the number of hashes that differ, and if led, rest: so much of the difference of both sets that,
+    of two sets that link and of which one at least doesn't link with b, the rests share a hash.
 
-    long: in how many long lists the set stands that are not among these; -1 in lists of parts.
+    With x and y the differences of two sets from b, and x's set not linked with b, they link only if over
+    percent / (100 + percent) of y's hashes are also in x. What a set has beyond b comes first, and what aside (b, often)
+    names comes last, so rests are mostly of hashes that few sets have.
+    """
+    per_leader = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")).where("salts > 1")
+    hot = sized(cut(per_leader, "join-hot"), MOST_BROADCAST)
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")).hint("merge"), "a").join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("salts")
+    right = sets.join(pairs.select(F.col("b").alias("id")).distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("b"), F.col("hashes").alias("_y"))
+    right = right.withColumn("often", F.lit(None).cast("array<long>")) if aside is None else right.join(aside.hint("merge"), "b", "left")
+    right = right.join(hot, "b", "left").select("b", "_y", "often", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rows = left.join(right.hint("merge"), ["b", "salt"]).withColumn("both", F.size(F.array_intersect("_x", "_y")))
+    n, m, both = F.size("_x"), F.size("_y"), F.col("both")
+    rows = rows.withColumn("linked", (both > 0) & (100 * both >= percent * (n + m - both))).withColumn("differ", n + m - 2 * both)
+    differ, whole = F.col("differ"), 100 + percent
+    partner = F.floor(100 * n / percent)
+    most = F.floor((100 - percent) * (n + partner) / whole)
+    near_most = F.floor((100 - percent) * (m + partner) / whole)
+    by_share = F.floor(percent * differ / whole) + 1
+    shared = F.when(F.col("linked"), by_share).when(differ - most > near_most, F.greatest(by_share, differ - most)).otherwise(F.greatest(F.lit(1), differ - most))
+    beyond = F.concat(F.array_except("_x", "_y"), F.array_except("_y", "_x"))
+    if aside is not None:
+        often = F.coalesce("often", F.array().cast("array<long>"))
+        beyond = F.concat(F.array_except(beyond, often), F.array_intersect(beyond, often))
+    rest = F.slice(beyond, F.lit(1), F.greatest(F.lit(0), differ - shared + 1).cast("int"))
+    return rows.select("a", "b", n.alias("n"), "linked", "differ", F.when(F.col("led"), rest).alias("rest"))
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels (id, comp) after edges (a, b) joined some components."""
+    if labels is None:
+        return components(edges)
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c_{c}")).hint("merge")
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    moved = components(between.where("a <> b").distinct())
+    old = labels.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")).hint("merge"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    new = moved.join(labels.select("id").hint("merge"), "id", "left_anti")
+    return cut(old.unionByName(new), "join-labels")
+
+
+def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> DataFrame:
+    """(id, comp) of all sets that link with another: by edges (a, b), and by the lists (key, id, n).
+
+    Short lists give their pairs. In a long list each set is compared with the leader alone. Sets that link with it are
+    of one component; what else may link in the list has common hashes in the differences from the leader, so these
+    are the lists of the next round.
     """
-    done, before = None, float("inf")
+    labels = None
+    raw = {"comp": F.col("id"), "role": F.lit(CORE), "pos": F.lit(0), "differ": F.lit(None).cast("int")}
+    lists = distinct_lists(lists.withColumns(raw), "join-lists")
     n_rows = lists.count()
     for turn in range(MOST_ROUNDS + 1):
-        comps = components(edges)
-        known = lists.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        by_comp = known.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("comps"))
-        open_keys = cut(by_comp.where("comps > 1"), "join-open")
-        left = open_keys.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
-            return edges
-        known = cut(known.join(open_keys.select("key").hint("merge"), "key", "left_semi"), "join-listed")
-        last = left <= FEW_PAIRS * n_rows or left > before / 2 or turn == MOST_ROUNDS
-        before = left
-        if last:
-            other = known.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("long").alias("long2"))
-            met = known.withColumnRenamed("id", "a").join(other.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _fits(percent))
-            # Every list that two sets of different components share is open, so their meetings can be counted.
-            met = met.groupBy("a", "b").agg(F.count(F.when(F.col("long") >= 0, 1)).alias("k"), F.max(F.col("long") < 0).alias("by_part"), *[F.max(c).alias(c) for c in ("n", "m", "long", "long2")])
-            found = met.where(F.col("by_part") | (F.col("k") + F.least("long", "long2") >= _meetings(percent)))
-        else:
-            order = F.struct(F.xxhash64("comp", F.lit(turn)).alias("c"), F.xxhash64("id", F.lit(turn)).alias("i"), "id", "n", "comp")
-            leaders = cut(known.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("m"), F.col("l.comp").alias("comp2")), "join-leaders")
-            found = known.withColumnRenamed("id", "b").join(leaders.hint("merge"), "key").where((F.col("comp") != F.col("comp2")) & _fits(percent))
-        pairs = found.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "join-pairs")
-        edges = cut(edges.unionByName(verified(pairs, texts, width, percent)), "join-edges")
-        if last:
-            return edges
-        done = pairs if done is None else done.unionByName(pairs)
-    return edges
+        last = turn == MOST_ROUNDS or (lists.agg(F.sum(F.col("work") / F.col("length"))).first()[0] or 0) <= FEW_PAIRS * n_rows
+        short = F.lit(True) if last else F.col("work") <= F.col("length") * SHORT_LIST
+        long = lists.where(~short)
+        # First, sets whose places are in the longest lists are the least edited; then those nearest to the last leader.
+        rank = F.sum(F.col("weight") * F.col("length")) if turn == 0 else -F.min("differ")
+        crowd = cut(long.groupBy("id").agg(F.sum("weight").alias("long"), rank.alias("rank")), "join-crowd")
+        pairs = list_pairs(lists.where(short).join(crowd.select("id", "long").hint("merge"), "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), percent)
+        if turn == 0:
+            pairs = pairs.where(F.col("k") + F.least("long", "long2") >= _meetings(percent))
+        pairs = pairs.select("a", "b", F.lit(False).alias("led")).unionByName(leaders(long, crowd).withColumn("led", F.lit(True)))
+        pairs = cut(pairs.groupBy("a", "b").agg(F.max("led").alias("led")), "join-pairs")
+        ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ends")
+        own_sets = cut(sets_of(ends), "join-sets")
+        seen = cut(compared(pairs, own_sets, percent), "join-compared")
+        found = seen.where("linked").select("a", "b")
+        labels = merged(labels, edges.unionByName(found) if turn == 0 else found)
+        open_ = seen.where("rest is not null").join(labels.withColumnRenamed("id", "a").hint("merge"), "a", "left")
+        open_ = open_.groupBy("b").agg(*[f(F.coalesce("comp", "a")).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))], F.count("*").alias("size"))
+        open_ = cut(open_.where("low <> high").select("b", "size"), "join-open")
+        if open_.isEmpty():
+            return labels
+        listed = cut(seen.where("rest is not null").join(open_.select("b").hint("merge"), "b", "left_semi"), "join-rests")
+        # What many differences have in common is a hash that the leader lacks or alone has; it parts no sets, so it goes last.
+        often = listed.select("b", F.explode("rest").alias("e")).groupBy("b", "e").count().join(open_.where(F.col("size") > CROWDED).hint("merge"), "b")
+        often = cut(often.where(F.col("count") * CROWDED_SHARE > F.col("size")).groupBy("b").agg(F.collect_list("e").alias("often")), "join-aside")
+        if not often.isEmpty():
+            again = listed.join(often.select("b").hint("merge"), "b", "left_semi").select("a", "b", F.lit(True).alias("led"))
+            listed = listed.join(often.select("b").hint("merge"), "b", "left_anti").unionByName(cut(compared(again, own_sets, percent, often), "join-again"))
+        core = F.col("differ") - F.floor(percent * F.col("differ") / (100 + percent))
+        role = F.when(F.col("linked"), NEAR).when(F.col("pos") < core, CORE).otherwise(TAIL)
+        listed = listed.join(labels.withColumnRenamed("id", "a").hint("merge"), "a", "left").select("b", F.col("a").alias("id"), "n", F.coalesce("comp", "a").alias("comp"), "linked", "differ", F.posexplode("rest").alias("pos", "e"))
+        lists = distinct_lists(cut(listed.select(F.xxhash64("b", "e").alias("key"), "id", "n", "comp", role.alias("role"), "pos", "differ"), "join-listed"), "join-lists")
+        if lists.isEmpty():
+            return labels
+    return labels
 
 
 def join(docs: DataFrame, *, text="text", doc_id="doc_id", width: int = 3, percent: int = 90) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(features(docs, width, percent, common_hashes(docs, width, percent)), "join-features")
+    common = common_hashes(docs, width, percent)
+    rows = cut(features(docs, width, percent, common), "join-features")
     usable = rows.where("n > 0 and doc_id is not null")
     members = usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("hashes").alias("hashes"))
     classes = cut(members, "join-classes")
@@ -321,15 +375,8 @@ def join(docs: DataFrame, *, text="text", doc_id="doc_id", width: int = 3, perce
     light = boundary(sizes, scan or 1.0, percent)
 
     edges = cut(light_links(classes, light, percent), "join-edges")
-    lists = _often(postings.where(F.col("n") >= -(-percent * (light + 1) // 100)), "join-lists")
-    listed = cut(lists.select("id").distinct(), "join-listed-ids")
-    texts = cut(docs.withColumnRenamed("doc_id", "id").join(sized(listed, MOST_BROADCAST), "id", "left_semi"), "join-texts")
-    crowded = cut(lists.where(F.col("length") > LONG_LIST).groupBy("id").agg(F.count("*").alias("long")), "join-crowded")
-    parts = cut(part_postings(texts.join(sized(crowded.select("id"), MOST_BROADCAST), "id", "left_semi"), width, percent), "join-part-postings")
-    by_part = _often(parts, "join-parts").select("key", "id", "n", F.lit(-1).cast("long").alias("long"))
-    short = lists.where(F.col("length") <= LONG_LIST).join(sized(crowded, MOST_BROADCAST), "id", "left")
-    lists = short.select("key", "id", "n", F.coalesce("long", F.lit(0)).alias("long")).unionByName(by_part)
-    comps = components(heavy_links(lists, texts, edges, width, percent))
+    lists = _often(postings.where(F.col("n") >= -(-percent * (light + 1) // 100)), "join-often")
+    comps = heavy_links(lists, lambda ids: sets(docs, ids, width, common), edges, percent)
 
     named = cut(classes.select("n", "d1", "d2", "id", "copies").join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).where("copies > 1 or comp <> id").select("n", "d1", "d2", "comp"), "join-named")
     return rows.join(named.hint("merge"), ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
