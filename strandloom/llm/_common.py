@@ -25,14 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there and every executor can reread it."""
+def cut(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there and every executor can reread it.
+
+    tasks: where df is known to be small, in so many tasks and files at most.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of one Arrow batch: texts of some thousand characters in it stay within a few MB in either process.
 BATCH_ROWS = 1000
 

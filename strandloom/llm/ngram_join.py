@@ -52,6 +52,13 @@ MOST_ROUNDS = 8
 #: CROWDED_SHARE times as many of them as a difference lists.
 CROWDED = 64
 CROWDED_SHARE = 6
+#: Leaders whose such hashes are broadcast.
+MOST_OFTEN = 2_000
+#: Sets with so many hashes in all are broadcast (8 bytes each); more are joined by a shuffle.
+FEW_HASHES = 2_000_000
+#: Rows of the lists for each task that writes what is made of them, and so many tasks at least.
+TASK_ROWS = 20_000
+LEAST_TASKS = 12
 #: Comparisons with one leader in one group of rows; leaders with more are dealt out.
 PER_SALT = 500
 #: Hashes in more prefixes than this are common; so many of them at most are broadcast (8 bytes each).
@@ -211,7 +218,7 @@ def _often(postings: DataFrame, name: str) -> DataFrame:
     return cut(postings.join(often.hint("merge"), "key"), name)
 
 
-def distinct_lists(lists: DataFrame, name: str) -> DataFrame:
+def distinct_lists(lists: DataFrame, name: str, tasks: int) -> DataFrame:
     """lists (key, id, n, comp, role, pos, differ) with their length, weight and work. Of lists with the same sets one stays,
     whose weight is their number, with the first place of each set in any; lists without a pair to compare go.
 
@@ -223,23 +230,24 @@ def distinct_lists(lists: DataFrame, name: str) -> DataFrame:
     counts = [F.count_if(F.col("role") == role).alias(c) for role, c in ((CORE, "core"), (NEAR, "near"), (TAIL, "tail"))]
     signed = lists.groupBy("key").agg(F.count("*").alias("length"), F.min("comp").alias("low"), F.max("comp").alias("high"), *counts, *sums)
     work = F.col("core") * (F.col("core") - 1) / 2 + F.col("near") * (F.col("core") + F.col("tail"))
-    signed = cut(signed.where((F.col("low") != F.col("high")) & (work > 0)).withColumn("work", work), name)
+    signed = cut(signed.where((F.col("low") != F.col("high")) & (work > 0)).withColumn("work", work), name, tasks)
     same = ["length", "s0", "s1", "s2", "s3"]
     first = signed.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("weight"), F.max("work").alias("work"))
-    kept = signed.select("key", *same).join(first.hint("merge"), same).select("key", "first", "length", "weight", "work")
-    out = lists.join(kept.hint("merge"), "key")
+    kept = cut(signed.select("key", *same).join(first.hint("merge"), same).select("key", "first", "length", "weight", "work"), name, tasks)
+    out = lists.join(sized(kept, MOST_BROADCAST), "key")
     least = [F.min(c).alias(c) for c in ("n", "comp", "role", "pos", "differ", "length", "weight", "work")]
-    return cut(out.groupBy(F.col("first").alias("key"), "id").agg(*least), name)
+    return cut(out.groupBy(F.col("first").alias("key"), "id").agg(*least), name, tasks)
 
 
-def leaders(lists: DataFrame, crowd: DataFrame) -> DataFrame:
+def leaders(lists: DataFrame, crowd: DataFrame, tasks: int) -> DataFrame:
     """(a, b): each set of a list with the list's leader b, the one of the highest rank by crowd (id, rank).
 
     Among near copies it should be one with few edits of its own, so that many link with it and the others' differences
     from it are small.
     """
-    led = lists.join(crowd.hint("merge"), "id").groupBy("key").agg(F.max(F.struct("rank", "n", F.xxhash64("id").alias("h"), "id")).alias("l"))
-    return lists.join(led.select("key", F.col("l.id").alias("b")).hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    led = lists.join(crowd, "id").groupBy("key").agg(F.max(F.struct("rank", "n", F.xxhash64("id").alias("h"), "id")).alias("l"))
+    led = cut(led.select("key", F.col("l.id").alias("b")), "join-leaders", tasks)
+    return lists.join(sized(led, MOST_BROADCAST), "key").where("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -274,14 +282,20 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, aside: DataFrame |
     percent / (100 + percent) of y's hashes are also in x. What a set has beyond b comes first, and what aside (b, often)
     names comes last, so rests are mostly of hashes that few sets have.
     """
-    per_leader = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")).where("salts > 1")
-    hot = sized(cut(per_leader, "join-hot"), MOST_BROADCAST)
-    salts = F.coalesce("salts", F.lit(1))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")).hint("merge"), "a").join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("salts")
-    right = sets.join(pairs.select(F.col("b").alias("id")).distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("b"), F.col("hashes").alias("_y"))
-    right = right.withColumn("often", F.lit(None).cast("array<long>")) if aside is None else right.join(aside.hint("merge"), "b", "left")
-    right = right.join(hot, "b", "left").select("b", "_y", "often", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rows = left.join(right.hint("merge"), ["b", "salt"]).withColumn("both", F.size(F.array_intersect("_x", "_y")))
+    if (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= FEW_HASHES:
+        y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("_y"))
+        y = y.withColumn("often", F.lit(None).cast("array<long>")) if aside is None else y.join(sized(aside, MOST_OFTEN), "b", "left")
+        rows = pairs.join(F.broadcast(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x"))), "a").join(F.broadcast(y), "b")
+    else:
+        per_leader = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")).where("salts > 1")
+        hot = sized(cut(per_leader, "join-hot"), MOST_BROADCAST)
+        salts = F.coalesce("salts", F.lit(1))
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("_x")).hint("merge"), "a").join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("salts")
+        right = sets.join(pairs.select(F.col("b").alias("id")).distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("b"), F.col("hashes").alias("_y"))
+        right = right.withColumn("often", F.lit(None).cast("array<long>")) if aside is None else right.join(aside.hint("merge"), "b", "left")
+        right = right.join(hot, "b", "left").select("b", "_y", "often", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        rows = left.join(right.hint("merge"), ["b", "salt"])
+    rows = rows.withColumn("both", F.size(F.array_intersect("_x", "_y")))
     n, m, both = F.size("_x"), F.size("_y"), F.col("both")
     rows = rows.withColumn("linked", (both > 0) & (100 * both >= percent * (n + m - both))).withColumn("differ", n + m - 2 * both)
     differ, whole = F.col("differ"), 100 + percent
@@ -298,16 +312,20 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, aside: DataFrame |
     return rows.select("a", "b", n.alias("n"), "linked", "differ", F.when(F.col("led"), rest).alias("rest"))
 
 
-def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def merged(labels: DataFrame | None, edges: DataFrame, tasks: int) -> DataFrame:
     """labels (id, comp) after edges (a, b) joined some components."""
     if labels is None:
-        return components(edges)
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c_{c}")).hint("merge")
+        return components(edges, tasks)
+    near = sized(labels, MOST_BROADCAST)
+    of = lambda c: near.select(F.col("id").alias(c), F.col("comp").alias(f"c_{c}"))
     between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    moved = components(between.where("a <> b").distinct())
-    old = labels.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")).hint("merge"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-    new = moved.join(labels.select("id").hint("merge"), "id", "left_anti")
-    return cut(old.unionByName(new), "join-labels")
+    between = cut(between.where("a <> b"), "join-between", tasks)
+    if between.isEmpty():
+        return labels
+    moved = components(between, tasks)
+    old = labels.join(sized(moved, MOST_BROADCAST).select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    new = moved.join(near.select("id"), "id", "left_anti")
+    return cut(old.unionByName(new), "join-labels", tasks)
 
 
 def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +337,8 @@ def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> Da
     """
     labels = None
     raw = {"comp": F.col("id"), "role": F.lit(CORE), "pos": F.lit(0), "differ": F.lit(None).cast("int")}
-    lists = distinct_lists(lists.withColumns(raw), "join-lists")
+    tasks = max(LEAST_TASKS, lists.count() // TASK_ROWS)
+    lists = distinct_lists(lists.withColumns(raw), "join-lists", tasks)
     n_rows = lists.count()
     for turn in range(MOST_ROUNDS + 1):
         last = turn == MOST_ROUNDS or (lists.agg(F.sum(F.col("work") / F.col("length"))).first()[0] or 0) <= FEW_PAIRS * n_rows
@@ -327,33 +346,36 @@ def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> Da
         long = lists.where(~short)
         # First, sets whose places are in the longest lists are the least edited; then those nearest to the last leader.
         rank = F.sum(F.col("weight") * F.col("length")) if turn == 0 else -F.min("differ")
-        crowd = cut(long.groupBy("id").agg(F.sum("weight").alias("long"), rank.alias("rank")), "join-crowd")
-        pairs = list_pairs(lists.where(short).join(crowd.select("id", "long").hint("merge"), "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), percent)
+        crowd = cut(long.groupBy("id").agg(F.sum("weight").alias("long"), rank.alias("rank")), "join-crowd", tasks)
+        crowd = sized(crowd, MOST_BROADCAST)
+        pairs = list_pairs(lists.where(short).join(crowd.drop("rank"), "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), percent)
         if turn == 0:
             pairs = pairs.where(F.col("k") + F.least("long", "long2") >= _meetings(percent))
-        pairs = pairs.select("a", "b", F.lit(False).alias("led")).unionByName(leaders(long, crowd).withColumn("led", F.lit(True)))
-        pairs = cut(pairs.groupBy("a", "b").agg(F.max("led").alias("led")), "join-pairs")
-        ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ends")
+        pairs = pairs.select("a", "b", F.lit(False).alias("led")).unionByName(leaders(long, crowd, tasks).withColumn("led", F.lit(True)))
+        pairs = cut(pairs.groupBy("a", "b").agg(F.max("led").alias("led")), "join-pairs", tasks)
+        ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ends", tasks)
         own_sets = cut(sets_of(ends), "join-sets")
         seen = cut(compared(pairs, own_sets, percent), "join-compared")
         found = seen.where("linked").select("a", "b")
-        labels = merged(labels, edges.unionByName(found) if turn == 0 else found)
-        open_ = seen.where("rest is not null").join(labels.withColumnRenamed("id", "a").hint("merge"), "a", "left")
+        labels = merged(labels, edges.unionByName(found) if turn == 0 else found, tasks)
+        named = sized(labels, MOST_BROADCAST).withColumnRenamed("id", "a")
+        open_ = seen.where("rest is not null").join(named, "a", "left")
         open_ = open_.groupBy("b").agg(*[f(F.coalesce("comp", "a")).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))], F.count("*").alias("size"))
-        open_ = cut(open_.where("low <> high").select("b", "size"), "join-open")
+        open_ = cut(open_.where("low <> high").select("b", "size"), "join-open", tasks)
         if open_.isEmpty():
             return labels
-        listed = cut(seen.where("rest is not null").join(open_.select("b").hint("merge"), "b", "left_semi"), "join-rests")
+        listed = cut(seen.where("rest is not null").join(sized(open_, MOST_BROADCAST).select("b"), "b", "left_semi"), "join-rests")
         # What many differences have in common is a hash that the leader lacks or alone has; it parts no sets, so it goes last.
-        often = listed.select("b", F.explode("rest").alias("e")).groupBy("b", "e").count().join(open_.where(F.col("size") > CROWDED).hint("merge"), "b")
-        often = cut(often.where(F.col("count") * CROWDED_SHARE > F.col("size")).groupBy("b").agg(F.collect_list("e").alias("often")), "join-aside")
+        often = listed.select("b", F.explode("rest").alias("e")).groupBy("b", "e").count().join(sized(open_.where(F.col("size") > CROWDED), MOST_BROADCAST), "b")
+        often = cut(often.where(F.col("count") * CROWDED_SHARE > F.col("size")).groupBy("b").agg(F.collect_list("e").alias("often")), "join-aside", tasks)
         if not often.isEmpty():
-            again = listed.join(often.select("b").hint("merge"), "b", "left_semi").select("a", "b", F.lit(True).alias("led"))
-            listed = listed.join(often.select("b").hint("merge"), "b", "left_anti").unionByName(cut(compared(again, own_sets, percent, often), "join-again"))
+            crowded = sized(often, MOST_OFTEN).select("b")
+            again = listed.join(crowded, "b", "left_semi").select("a", "b", F.lit(True).alias("led"))
+            listed = listed.join(crowded, "b", "left_anti").unionByName(cut(compared(again, own_sets, percent, often), "join-again"))
         core = F.col("differ") - F.floor(percent * F.col("differ") / (100 + percent))
         role = F.when(F.col("linked"), NEAR).when(F.col("pos") < core, CORE).otherwise(TAIL)
-        listed = listed.join(labels.withColumnRenamed("id", "a").hint("merge"), "a", "left").select("b", F.col("a").alias("id"), "n", F.coalesce("comp", "a").alias("comp"), "linked", "differ", F.posexplode("rest").alias("pos", "e"))
-        lists = distinct_lists(cut(listed.select(F.xxhash64("b", "e").alias("key"), "id", "n", "comp", role.alias("role"), "pos", "differ"), "join-listed"), "join-lists")
+        listed = listed.join(named, "a", "left").select("b", F.col("a").alias("id"), "n", F.coalesce("comp", "a").alias("comp"), "linked", "differ", F.posexplode("rest").alias("pos", "e"))
+        lists = distinct_lists(cut(listed.select(F.xxhash64("b", "e").alias("key"), "id", "n", "comp", role.alias("role"), "pos", "differ"), "join-listed", tasks), "join-lists", tasks)
         if lists.isEmpty():
             return labels
     return labels
