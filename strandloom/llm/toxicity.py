@@ -10,8 +10,9 @@ seen, turns these into a score from 0 to 1.
 
 The class counts come from all usable labelled rows that fit the models, the shared counts and the scores from all
 documents. The logistic model has five weights and takes at most MOST_LABELLED of the other labelled rows, the first in
-the order of a hash of doc_id. All counts are Spark aggregations; the distinct n-grams with their counts reach the
-driver and their log-ratios the workers, so these grow with the number of different n-grams of the labelled rows.
+the order of a hash of doc_id. All counts and log-ratios are Spark aggregations and joins; of each different n-gram of the
+labelled rows a hash and a log-ratio, 12 bytes, reach the driver and the workers, and of each four-character window of
+all documents its count.
 
 Defined results: null and empty texts, and texts without words, have the features 0 and thus a low score; labels that
 repeat a doc_id count as toxic if one says so; null labels are not used; without labelled rows of both classes the
@@ -20,9 +21,9 @@ score is 0; an empty table gives an empty one; extra columns pass through score(
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, sized
+from ._common import cut, sized, unused
+from .shingles import mix
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -42,8 +44,9 @@ MOST_BROADCAST = 1_000_000
 #: So many of a hundred labelled rows fit the models, the others the logistic model.
 FIT_SHARE = 60
 THRESHOLD = 0.7
-#: Words whose score a task keeps; beyond it the memory starts anew.
-KEPT_WORDS = 150_000
+#: Words whose score a task keeps, some 150 bytes each; beyond it the memory starts anew. Texts that are scored at once.
+KEPT_WORDS = 100_000
+STEP = 200
 WORD = re.compile(r"[^\W_]+")
 #: Characters from here on fall into so many classes for the shared counts.
 FIRST_SHARED, SHARED = 0x250, 1024
@@ -172,89 +175,140 @@ class Shared:
         raw, raw_n = keys[alone], n[alone]
         keys, n = keys[~alone], n[~alone]
         for length in (4, 3, 2):
-            self.levels[length] = (dict(zip(keys.tolist(), n.tolist(), strict=True)), self._contexts(keys >> BITS, n))
+            order = np.argsort(keys)
+            self.levels[length] = (keys[order], n[order], *_sums(keys >> BITS, n))
             # Below: how many different characters stand before; at a word's start nothing does, and counts stay counts.
             first = keys >> (length - 1) * BITS == BOUNDARY
             lower, _, kinds = _sums(keys & ((1 << (length - 1) * BITS) - 1), n)
             start = _sums(np.concatenate([keys[first] >> BITS, raw]), np.concatenate([n[first], raw_n])) if length > 2 else (raw[:0], n[:0])
             raw, raw_n = raw[:0], raw_n[:0]
             keys, n = np.concatenate([lower, start[0]]), np.concatenate([kinds, start[1]])
-        self.single, self.all = dict(zip(keys.tolist(), n.tolist(), strict=True)), int(n.sum())
-
-    @staticmethod
-    def _contexts(keys: np.ndarray, n: np.ndarray) -> dict[int, tuple[int, int]]:
-        found, sums, rows = _sums(keys, n)
-        return dict(zip(found.tolist(), zip(sums.tolist(), rows.tolist(), strict=True), strict=True))
-
-    def p(self, g: str) -> float:
-        """Of the last character of g after the others, at most four in all."""
-        key = 0
-        for c in _classes(np.array([ord(c) if c not in "^$" else BOUNDARY for c in g])).tolist():
+        order = np.argsort(keys)
+        self.single, self.single_n, self.all = keys[order], n[order], int(n.sum())
+
+    def p(self, grams: list[str]) -> np.ndarray:
+        """Of the last character of each n-gram after the others, at most four characters in all."""
+        chars = np.array([[ord(c) if c not in "^$" else BOUNDARY for c in g.rjust(4, "\0")] for g in grams], np.int64).reshape(-1, 4)
+        length = np.fromiter(map(len, grams), np.int64, len(grams))
+        key = np.zeros(len(grams), np.int64)
+        for c in _classes(chars).T:
             key = key << BITS | c
-        out = (self.single.get(key & LOW, 0) + 1) / (self.all + CLASSES)
-        for length in range(2, len(g) + 1):
-            own = key & ((1 << length * BITS) - 1)
-            counts, contexts = self.levels[length]
-            found = contexts.get(own >> BITS)
-            if found:
-                out = (max(counts.get(own, 0) - DISCOUNT, 0) + DISCOUNT * found[1] * out) / found[0]
+        out = (_at(self.single, self.single_n, key & LOW) + 1) / (self.all + CLASSES)
+        for k in range(2, 5):
+            keys, n, contexts, sums, kinds = self.levels[k]
+            own = key & ((1 << k * BITS) - 1)
+            total = _at(contexts, sums, own >> BITS)
+            better = (np.maximum(_at(keys, n, own) - DISCOUNT, 0) + DISCOUNT * _at(contexts, kinds, own >> BITS) * out) / np.maximum(total, 1)
+            out = np.where((k <= length) & (total > 0), better, out)
         return out
 
 
-def log_ratios(counts: list[tuple[int, str, int]], shared: Shared) -> tuple[dict[str, float], dict[str, float]]:
-    """(of n-grams, of contexts): the log-ratio of the classes for a character after a context, and for an unknown
-    character after it, where both back off to the same probability."""
-    sides: list[dict[str, int]] = [{}, {}]
-    totals: list[dict[str, list[int]]] = [{}, {}]
-    for y, g, n in counts:
-        if len(g) > 2:
-            k = int(y > 0)
-            sides[k][g] = sides[k].get(g, 0) + n
-    for side, total in zip(sides, totals, strict=True):
-        for g, n in side.items():
-            x = total.setdefault(g[:-1], [0, 0])
-            x[0] += n
-            x[1] += 1
-    ratio, back = {}, {}
-    for g in sides[0].keys() | sides[1].keys():
-        below, ps = shared.p(g[1:]), []
-        for side, total in zip(sides, totals, strict=True):
-            x = total.get(g[:-1])
-            ps.append((max(side.get(g, 0) - DISCOUNT, 0) + DISCOUNT * x[1] * below) / x[0] if x else below)
-        ratio[g] = math.log(ps[1] / ps[0])
-    for h in totals[0].keys() | totals[1].keys():
-        weight = [math.log(DISCOUNT * x[1] / x[0]) if (x := total.get(h)) else 0.0 for total in totals]
-        back[h] = weight[1] - weight[0]
-    return ratio, back
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys, 0 for those that are not in keys, which are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(0))
+
+
+#: Added to the hashes of contexts, which share a table with n-grams.
+CONTEXT = np.uint64(0x6A09E667F3BCC909)
+
+
+def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, contexts, word): the hashes of all n-grams of all words, as grams() lists them, those of the n-grams
+    without their last characters, and the number of the word of each."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(codes)) - start
+    # ends[k]: the hash of the k characters that end at each place, or of all from the word's start if they are fewer.
+    ends = [np.zeros(len(codes), np.uint64)]
+    for k in range(1, ORDER + 1):
+        back = np.zeros(len(codes), np.uint64)
+        back[k - 1 :] = codes[: len(codes) - k + 1]
+        ends.append(np.where(place >= k - 1, mix(ends[-1] * np.uint64(0x9FB21C651E98DF25) + back), ends[-1]))
+    inside = np.flatnonzero(place > 0)
+    word = np.repeat(np.arange(len(words)), lengths)
+    return ends[ORDER][inside], ends[ORDER - 1][inside - 1] + CONTEXT, word[inside]
+
+
+def log_ratios(counts: DataFrame, shared: Shared) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; values): the log-ratio of the classes for a character after a context, by the hash of the n-gram,
+    and for an unknown character after it, where both back off to the same probability, by that of the context.
+
+    Computed by Spark over counts (toxic, gram, n); 12 bytes for each n-gram reach the driver.
+    """
+    model = counts.sparkSession.sparkContext.broadcast(shared)
+    of_class = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    long = counts.where(F.length("gram") > 2).withColumn("y", (F.col("toxic") > 0).cast("int"))
+    each = cut(long.groupBy("gram").agg(of_class(0).alias("n0"), of_class(1).alias("n1")).withColumn("h", F.expr("substring(gram, 1, length(gram) - 1)")), "toxicity-grams")
+    per = each.groupBy("h").agg(*[f(c).alias(f"{s}{y}") for y in (0, 1) for f, s, c in ((F.sum, "t", F.col(f"n{y}")), (F.count_if, "k", F.col(f"n{y}") > 0))])
+    per = cut(per, "toxicity-contexts")
+
+    def ratios(parts):
+        for part in parts:
+            grams = part["gram"].tolist()
+            below, ps = model.value.p([g[1:] for g in grams]), []
+            for y in (0, 1):
+                n, total, kinds = (part[f"{c}{y}"].to_numpy(np.float64) for c in "ntk")
+                ps.append(np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.maximum(total, 1), below))
+            yield pd.DataFrame({"key": whole_hashes(grams).view(np.int64), "value": np.log(ps[1] / ps[0])})
+
+    def weights(parts):
+        for part in parts:
+            w = []
+            for y in (0, 1):
+                total, kinds = (part[f"{c}{y}"].to_numpy(np.float64) for c in "tk")
+                w.append(np.where(total > 0, np.log(DISCOUNT * np.maximum(kinds, 1) / np.maximum(total, 1)), 0.0))
+            yield pd.DataFrame({"key": (whole_hashes(part["h"].tolist()) + CONTEXT).view(np.int64), "value": w[1] - w[0]})
+
+    schema = "key long, value float"
+    both = each.join(per.hint("merge"), "h").mapInPandas(ratios, schema).unionByName(per.mapInPandas(weights, schema))
+    found = cut(both, "toxicity-ratios").toPandas()
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found["value"].to_numpy(np.float32)[order]
+
+
+def whole_hashes(grams: list[str]) -> np.ndarray:
+    """The hashes of whole n-grams or contexts, as gram_hashes() has them."""
+    lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+    codes = np.array([[ord(c) for c in g.rjust(ORDER, "\0")] for g in grams], np.uint64).reshape(-1, ORDER)
+    out = np.zeros(len(grams), np.uint64)
+    for k in range(ORDER):
+        out = np.where(k < lengths, mix(out * np.uint64(0x9FB21C651E98DF25) + codes[:, ORDER - 1 - k]), out)
+    return out
 
 
 class Scorer:
-    def __init__(self, ratio: dict[str, float], back: dict[str, float]):
-        self.ratio, self.back, self.known = ratio, back, {}
-
-    def gram(self, g: str) -> float:
-        x = self.ratio.get(g)
-        return self.back.get(g[:-1], 0.0) if x is None else x
-
-    def word(self, w: str) -> float:
-        s = self.known.get(w)
-        if s is None:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            ratio = self.ratio
-            s = 0.0
-            for g in grams(w):
-                x = ratio.get(g)
-                s += self.gram(g) if x is None else x
-            s = self.known[w] = s / (len(w) + 1)
-        return s
-
-    def features(self, text: str | None) -> list[float]:
-        words = WORD.findall((text or "").lower())
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.known = keys, values, {}
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The score of each word."""
+        grams, contexts, word = gram_hashes(words)
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        found = self.keys[at] == grams
+        x = np.where(found, self.values[at], 0).astype(np.float64)
+        rest = np.flatnonzero(~found)
+        x[rest] = _at(self.keys, self.values, contexts[rest])
+        return np.bincount(word, x, len(words)) / (np.fromiter(map(len, words), np.int64, len(words)) + 1)
+
+    def features(self, texts: list[str | None]) -> list[list[float]]:
+        found = [WORD.findall((t or "").lower()) for t in texts]
+        new = list(set().union(*found).difference(self.known))
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = list(set().union(*found))
+        for a in range(0, len(new), 4096):
+            self.known.update(zip(new[a : a + 4096], self.words(new[a : a + 4096]).tolist(), strict=True))
+        return [self._of(words) for words in found]
+
+    def _of(self, words: list[str]) -> list[float]:
         if not words:
             return [0.0] * len(FEATURES)
-        known = self.known.get
-        x = np.array([s if (s := known(w)) is not None else self.word(w) for w in words])
+        x = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
         top = -np.sort(-np.partition(x, len(x) - TOPS[-1])[-TOPS[-1] :]) if len(x) > TOPS[-1] else -np.sort(-x)
         return [float(x.mean()), *(float(top[:k].mean()) for k in TOPS)]
 
@@ -270,45 +324,35 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return mean, spread, w
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(tables) -> Scorer:
-    """The worker's own scorer, built once for each broadcast."""
-    value = tables.value
-    found = _scorers.get(id(value))
-    if found is None:
-        _scorers.clear()
-        found = _scorers[id(value)] = Scorer(*value)
-    return found
-
-
 def score(docs: DataFrame, labels: DataFrame, *, text="text", usable: Column | None = None, out="score") -> DataFrame:
     """docs with the column out; labels: (doc_id, toxic)."""
     spark = docs.sparkSession
     fitting, sample = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, usable)
-    checks = {r["toxic"] > 0 for r in sample.select("toxic").distinct().collect()}
-    counts = [tuple(r) for r in gram_counts(fitting).collect()] if len(checks) == 2 else []
-    if len({y > 0 for y, _, _ in counts}) < 2:
+    counts = cut(gram_counts(fitting), "toxicity-counts")
+    checks, sides = ({r[0] for r in x.select(F.col("toxic") > 0).distinct().collect()} for x in (sample, counts))
+    if len(checks) < 2 or len(sides) < 2:
         return docs.withColumn(out, F.lit(0.0))
     found = shared_counts(docs, text).toPandas()
     shared = Shared(found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
     tables = spark.sparkContext.broadcast(log_ratios(counts, shared))
 
     @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        scorer = _scorer(tables)
-        return pd.Series([scorer.features(t) for t in texts], dtype=object)
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(*tables.value)  # ends with the task
+        for texts in batches:
+            yield pd.Series([x for a in range(0, len(texts), STEP) for x in scorer.features(texts.iloc[a : a + STEP].tolist())], dtype=object)
 
     seen = sample.select("toxic", features("text").alias("x")).collect()
     mean, spread, weights = logistic(np.array([r["x"] for r in seen]), np.array([float(r["toxic"] > 0) for r in seen]))
     linear = F.lit(float(weights[-1]))
+    name = unused(docs, "_features")
     for i in range(len(FEATURES)):
-        linear = linear + (F.get("_features", F.lit(i)) - float(mean[i])) / float(spread[i]) * float(weights[i])
+        linear = linear + (F.get(name, F.lit(i)) - float(mean[i])) / float(spread[i]) * float(weights[i])
     # Python is asked once for each text.
-    return docs.withColumn("_features", features(text)).withColumn(out, 1 / (1 + F.exp(-linear))).drop("_features")
+    return docs.withColumn(name, features(text)).withColumn(out, 1 / (1 + F.exp(-linear))).drop(name)
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those whose score reaches the threshold; all columns stay."""
-    return score(docs, labels, out="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return score(docs, labels, out=name).where(F.col(name) < threshold).drop(name)
