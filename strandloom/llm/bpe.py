@@ -13,7 +13,7 @@ rows each get their row; an empty table gives an empty one; extra columns pass t
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 NONE = 1 << 30
 SHORT = 64
+#: Slots of the table of pairs: some times as many as a vocabulary has pairs.
+SLOT_BITS = 20
 #: Bytes of short pieces that are merged at once; their trees take some 60 bytes for each.
 ROW_BYTES = 1 << 19
 #: Pieces whose ids a task keeps, about 200 bytes each. Beyond it the memory starts anew; results don't depend on it.
@@ -51,21 +53,46 @@ class Merges:
         self.tokens = tokens
         rank = {t: i for i, t in enumerate(tokens) if t}
         self.byte_rank = np.array([rank[bytes([b])] for b in range(256)], np.int64)
-        self.pair: dict[int, int] = {}
+        pair: dict[int, int] = {}
         for t, i in rank.items():
             for cut in range(1, len(t)):
                 a, b = rank.get(t[:cut]), rank.get(t[cut:])
                 if a is not None and b is not None:
-                    self.pair[a << 32 | b] = i
-        keys = np.array(sorted(self.pair), np.int64)
-        self.keys = np.append(keys, np.iinfo(np.int64).max)
-        self.values = np.array([self.pair[k] for k in keys.tolist()] + [NONE], np.int64)
+                    pair[a << 32 | b] = i
+        keys = np.fromiter(pair.keys(), np.int64, len(pair))
+        values = np.fromiter(pair.values(), np.int64, len(pair))
+        # A pair stands in the slot of its hash, or among the others where that slot is taken.
+        slot = self._slot(keys)
+        self.slot_key, self.slot_value = np.full(1 << SLOT_BITS, np.iinfo(np.int64).min), np.full(1 << SLOT_BITS, NONE, np.int32)
+        self.slot_key[slot], self.slot_value[slot] = keys, values
+        late = self.slot_key[slot] != keys
+        self.shared = np.zeros(1 << SLOT_BITS, bool)
+        self.shared[slot[late]] = True
+        order = np.argsort(keys[late])
+        self.late_key = np.append(keys[late][order], np.iinfo(np.int64).max)
+        self.late_value = np.append(values[late][order], NONE)
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or NONE; ids under 0 stand for no token."""
         key = (left << 32) | right
-        at = np.searchsorted(self.keys, key)
-        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.values[at], NONE)
+        slot = self._slot(key)
+        same = self.slot_key[slot] == key
+        out = np.where(same, self.slot_value[slot], NONE).astype(np.int64)
+        other = np.flatnonzero(self.shared[slot] & ~same)
+        if len(other):
+            at = np.searchsorted(self.late_key, key[other])
+            out[other] = np.where(self.late_key[at] == key[other], self.late_value[at], NONE)
+        return out
+
+    @cached_property
+    def pair(self) -> dict[int, int]:
+        """The ranks of all pairs for pieces that are merged singly."""
+        used = self.slot_value < NONE
+        return dict(zip(self.slot_key[used].tolist(), self.slot_value[used].tolist(), strict=True)) | dict(zip(self.late_key[:-1].tolist(), self.late_value[:-1].tolist(), strict=True))
 
     def encode_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids, as little-endian 32-bit integers, of pieces of at most width bytes, a power of two."""
