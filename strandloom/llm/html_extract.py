@@ -1,26 +1,30 @@
 """Main text of web pages by template deduction over equivalence classes of tokens.
 
-A page is cut into blocks of text, each with the path of the elements around it. The tokens of a host's pages are these
-paths, step by step, and the texts under them. A token's occurrence vector says how often it stands on each page; it is
-kept as a sum of page hashes, which merges by aggregation. Tokens of one host with the same vector are an equivalence
-class; a class is valid if enough of the host's pages have it and its paths nest. Valid classes, nested by their
-paths, are the host's template; between its tokens are slots. The main slot is the article or main element of the template that
-holds most text, or else the deepest template element that holds most of the host's text that no other rule has cut.
+A page is cut into blocks of text below a tree of elements. The tokens of a host's pages are the paths of elements, and
+the texts under them. A token's occurrence vector says how often it stands on each page; it is kept as two sums of
+hashes of page and number, which merge by aggregation. Tokens of one host with the same vector are an equivalence
+class. A class is valid if enough of the host's pages have it, an element is in it, and it nests: the topmost of its
+elements stand in one slot, below the same element. The elements of valid classes are a tree by their paths, the host's template; between
+its tokens are slots. The main slot is the article or main element of the template that holds most text, or else the
+deepest template element that holds most of the host's text that no other rule has cut.
 A page's own article or main element serves only where the template names no slot below body, as on hosts of few
 pages, or where the page doesn't have the slot. Elements that share the slot's path on one page are all taken.
 
 From the slot are left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments, by
-element and by class or id, and texts of the template itself. A page of nothing but such texts keeps them. Character references are decoded,
-white space inside a block becomes one blank, blocks are joined by a line feed; nothing else is cut.
+element and by class or id, and texts of the template itself. Headings are not judged by their names. A page of nothing but such texts keeps them.
+Character references are decoded within a run of text, white space inside a block becomes one blank, blocks are joined
+by a line feed; nothing else is cut. What is cut inside a line leaves the block whole.
 
 Defined results: null, empty and text-free pages give an empty text; markup that is cut short or unclosed ends with the
-page; pages that repeat an id each get their row; a null url has a host of its own; an empty table gives an empty one;
-extra columns are not used.
+page, and its cost grows with its length alone; pages that repeat an id each get their row; a null url has a host of its
+own; an empty table gives an empty one; extra columns are not used.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -28,14 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, sized
+from ._common import cut
 
 #: A host has a template if so many of its pages, and this share of them, agree.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
 #: A slot holds most of a host's text.
 MOST_TEXT = 0.6
-MOST_BROADCAST = 20_000
+#: Bytes of templates that are broadcast; beyond it they are joined by host, and hosts of more pages than HOT are dealt out.
+MOST_BROADCAST = 32 << 20
+HOT = 5_000
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -44,6 +50,8 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "noscript", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "button", "template"}
 CUT = {"nav", "footer", "aside", "form", "menu", "noscript", "template", "button", "select", "dialog", "svg", "object", "audio", "video", "canvas", "map"}
+#: Of these, the ones that may stand inside a line.
+INLINE_CUT = {"button", "select", "svg", "object", "audio", "video", "canvas", "map"}
 #: Words of a class or id that name what is not the article.
 CUT_NAMES = re.compile(
     r"^(ads?|advert.*|sponsor.*|promo.*|banner.*|cookies?|consent|gdpr|notices?|alerts?|sidebars?|aside|rail|menus?|nav|navbar|navigation|breadcrumbs?|masthead|topbar|footer|comments?|commentlist|respond|replies|disqus|related|recommended|share|sharing|social|subscribe|newsletter|popup|modal|overlay|widgets?|login|signup|search|pagination|pager|toolbar|skip|dfp)$"
@@ -58,13 +66,8 @@ ARTICLE = {"article", "main"}
 #: Elements that a following block or sibling closes by itself.
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEPT_NAMES = 2
 #: How surely a block is cut. An article or main element lifts a cut that it inherits from a name alone.
 LIFTED, BY_NAME, BY_ELEMENT = 1, 2, 3
-#: A slot that is only this says nothing of where the text stands.
-WHOLE_PAGE = re.compile(r"(html[^/]*)?(/|^|$)(body[^/]*)?$")
-
-
 def _named(names: list[str], pattern: re.Pattern) -> bool:
     """Whether a whole class or id says what pattern names: one of its parts does and the others are such words or qualifiers."""
     for name in names:
@@ -84,59 +87,94 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[int, bool, str]:
             else:
                 names += (a or b or c).lower().split()
     cut_it = 0
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
         pass
     elif tag in CUT or MAIN_ROLES.get(role) == "cut" or not in_article and tag == "header":
         cut_it = BY_ELEMENT
     elif names and (_named(names, CUT_NAMES) or not in_article and _named(names, HEADER_NAMES)):
         cut_it = BY_NAME
-    return cut_it, tag in ARTICLE or MAIN_ROLES.get(role) == "main", ".".join([tag, *sorted(names)[:KEPT_NAMES]])
+    return cut_it, tag in ARTICLE or MAIN_ROLES.get(role) == "main", ".".join([tag, *sorted(set(names))])
+
+
+#: An article or main element; the page, html or body, which say nothing of where the text stands; any other element.
+MAIN, WHOLE, OTHER = 2, 1, 0
+
+
+@dataclass
+class Page:
+    """A page's elements by number, their parents first (0 is the page itself), and its blocks of text in page order."""
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    path: list[int] = field(default_factory=lambda: [0])  # the hash of the path
+    kind: list[int] = field(default_factory=lambda: [WHOLE])  # MAIN, WHOLE or OTHER
+    depth: list[int] = field(default_factory=lambda: [0])
+    blocks: list[tuple[int, str, int, bool]] = field(default_factory=list)  # element, text, level of its cut, in an article
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hash(above: int, name: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{above}\n{name}".encode("utf-8", "surrogatepass")))
 
 
-def _levels(html: str, opened: list[str] | None) -> list[tuple[str, str, int, bool]]:
-    """(path, text, level of its cut, in an article) of each block that has text, in page order. opened gets the path of
-    each element."""
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, int, bool, str]] = []  # tag, cut, article, path; of block elements and of those that are cut
+def text_hash(path: int, text: str) -> int:
+    """The hash of a text under a path, as a signed 64-bit integer."""
+    return _hash(path, f"\n{text}")
+
+
+def _levels(html: str) -> Page:
+    page = Page()
+    # Tag, cut, article, element, and the text that goes on after an element that is cut inside a line; of block
+    # elements and of those that are cut.
+    stack: list[tuple[str, int, bool, int, list[str] | None]] = []
+    opened: dict[str, int] = {}  # how many of each tag are in the stack
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                _, is_cut, article, path = stack[-1] if stack else ("", 0, False, "")
-                out.append((path, text, is_cut, article))
+                _, is_cut, article, element, _ = stack[-1] if stack else ("", 0, False, 0, None)
+                page.blocks.append((element, text, is_cut, article))
 
     def pop(n: int) -> None:
-        flush()
-        del stack[n:]
+        nonlocal parts
+        while len(stack) > n:
+            flush()
+            tag, *_, after = stack.pop()
+            opened[tag] -= 1
+            if after is not None:
+                parts = after
 
     at = 0
     while True:
         m = TAG.search(html, at)
         if not m:
-            parts.append(html[at:])
+            parts.append(unescape(html[at:]))
             break
-        parts.append(html[at : m.start()])
+        if m.start() > at:
+            parts.append(unescape(html[at : m.start()]))
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    pop(n)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if opened.get(tag):
+                n = len(stack) - 1
+                while stack[n][0] != tag:
+                    n -= 1
+                pop(n)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag == "br" or tag == "hr" or tag == "wbr":
             flush() if tag == "hr" else parts.append(" " if tag == "br" else "")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            end = _end_of(tag).search(html, at)
             at = end.end() if end else len(html)
             continue
         if tag in VOID:
@@ -145,106 +183,141 @@ def _levels(html: str, opened: list[str] | None) -> list[tuple[str, str, int, bo
             # Its texts are all RAW; what else it seems to hold stands in the body, as </head> may be left out.
             flush()
             continue
-        above_cut, above_article, above_path = stack[-1][1:] if stack else (0, False, "")
-        is_cut, main, name = _kind(tag, m[3], above_article)
-        if tag in BLOCK:
+        is_cut, main, name = _kind(tag, m[3], stack[-1][2] if stack else False)
+        inline = tag in INLINE_CUT or tag not in BLOCK
+        if not inline:
             flush()
             if stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                stack.pop()
+                pop(len(stack) - 1)
             if stack and stack[-1][0] in SIBLINGS.get(tag, ()):
-                stack.pop()
-            above_cut, above_article, above_path = stack[-1][1:] if stack else (0, False, "")
+                pop(len(stack) - 1)
         elif not is_cut:
             continue
-        elif not m[3].endswith("/"):
-            flush()
+        if m[3].endswith("/"):
+            continue
+        _, above_cut, above_article, above, _ = stack[-1] if stack else ("", 0, False, 0, None)
         if main and above_cut == BY_NAME and not above_article:
             above_cut = LIFTED
-        if not m[3].endswith("/"):
-            stack.append((tag, max(above_cut, is_cut), above_article or main, f"{above_path}/{name}" if above_path else name))
-            if opened is not None:
-                opened.append(stack[-1][3])
+        page.parent.append(above)
+        page.path.append(_hash(page.path[above], name))
+        page.kind.append(MAIN if tag in ARTICLE else WHOLE if tag in ("html", "body") else OTHER)
+        page.depth.append(page.depth[above] + 1)
+        stack.append((tag, max(above_cut, is_cut), above_article or main, len(page.path) - 1, parts if inline else None))
+        opened[tag] = opened.get(tag, 0) + 1
+        if inline:
+            parts = []
+    pop(0)
     flush()
-    return out
+    return page
+
+
+@lru_cache(None)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
 
 
-def blocks(html: str, opened: list[str] | None = None) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, cut, in an article) of each block that has text, in page order. opened gets the path of each element.
+def parsed(html: str) -> tuple[Page, list[tuple[int, str, bool, bool]]]:
+    """The page, and (element, text, cut, in an article) of each block that has text, in page order.
 
     Articles below a name that is cut serve where no other article stands; what is cut by a name serves where else all
     would be cut."""
-    found = _levels(html, opened)
+    page = _levels(html)
     most = 0
-    if not any(level == 0 and article for _, _, level, article in found):
-        levels = {level for _, _, level, _ in found}
+    if not any(level == 0 and article for _, _, level, article in page.blocks):
+        levels = {level for _, _, level, _ in page.blocks}
         most = LIFTED if LIFTED in levels else 0 if 0 in levels else BY_NAME
-    return [(path, text, level > most, article) for path, text, level, article in found]
-
-
-def _steps(path: str) -> list[str]:
-    names = path.split("/") if path else []
-    return ["/".join(names[:k]) for k in range(1, len(names) + 1)]
-
-
-def token_hash(path: str, text: str | None = None) -> int:
-    """The hash of a path, or of a text under it, as a signed 64-bit integer."""
-    x = xxhash.xxh64_intdigest((path if text is None else f"{path}\n{text}").encode("utf-8", "surrogatepass"))
-    return x - (1 << 64) if x >> 63 else x
+    return page, [(element, text, level > most, article) for element, text, level, article in page.blocks]
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, path, hash, n, chars): a page's tokens, how often each stands there, and the characters of uncut text
-    under a path. path is null for texts."""
+    """(host, page, hash, above, depth, kind, n, chars): a page's tokens, how often each stands there, and the characters of
+    uncut text under a path. above is the path that a token stands in, depth is 0 for texts."""
 
     def batches(parts):
         for part in parts:
             rows = []
-            for host, page, html in zip(part["host"], part["page"], part["html"], strict=True):
-                n: dict[tuple, int] = {}
-                chars: dict[str, int] = {}
-                opened: list[str] = []
-                for path, text, is_cut, _ in blocks(html or "", opened):
+            for host, number, html in zip(part["host"], part["page"], part["html"], strict=True):
+                page, blocks = parsed(html or "")
+                n: dict[int, int] = {}
+                of_text: dict[int, int] = {}
+                chars = [0] * len(page.path)
+                for element, text, is_cut, _ in blocks:
                     if not is_cut:
-                        for step in _steps(path):
-                            chars[step] = chars.get(step, 0) + len(text)
-                        n[path, text] = n.get((path, text), 0) + 1
-                for path in opened:
-                    n[path, None] = n.get((path, None), 0) + 1
-                rows += [(host, page, p if t is None else None, token_hash(p, t), k, chars.get(p, 0) if t is None else 0) for (p, t), k in n.items()]
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "hash", "n", "chars"])
-
-    return pages.mapInPandas(batches, "host string, page long, path string, hash long, n int, chars long")
+                        chars[element] += len(text)
+                        h = text_hash(page.path[element], text)
+                        n[h] = n.get(h, 0) + 1
+                        of_text[h] = page.path[element]
+                by_path: dict[int, list] = {}
+                for k in range(len(page.path) - 1, 0, -1):
+                    chars[page.parent[k]] += chars[k]
+                    found = by_path.setdefault(page.path[k], [page.path[page.parent[k]], page.depth[k], page.kind[k], 0, 0])
+                    found[3] += 1
+                    found[4] += chars[k]
+                rows += [(host, number, h, of_text[h], 0, OTHER, k, 0) for h, k in n.items()]
+                rows += [(host, number, h, *x) for h, x in by_path.items()]
+            yield pd.DataFrame(rows, columns=["host", "page", "hash", "above", "depth", "kind", "n", "chars"])
+
+    return pages.mapInPandas(batches, "host string, page long, hash long, above long, depth int, kind int, n int, chars long")
+
+
+def template(often: pd.DataFrame) -> tuple[int | None, list[int]]:
+    """(path of the main slot or None, hashes of the template's texts) from one host's frequent tokens
+    (hash, above, depth, kind, chars, v1, v2)."""
+    elements = often[often["depth"] > 0].sort_values(["depth", "hash"])
+    vector = dict(zip(often["hash"], zip(often["v1"], often["v2"], strict=True), strict=True))
+    above = dict(zip(elements["hash"], elements["above"], strict=True))
+    # The nearest element of a path's own class above it, and with it the topmost elements of each class.
+    slots: dict[tuple, set[int]] = {}
+    lines: dict[int, frozenset] = {0: frozenset()}
+    for h, up in above.items():
+        line = lines.get(up, frozenset())
+        if vector[h] not in line:
+            slots.setdefault(vector[h], set()).add(up)
+        lines[h] = line if vector[h] in line else line | {vector[h]}
+    valid = {v for v, places in slots.items() if len(places) == 1}
+    kept = elements[[vector[h] in valid for h in elements["hash"]]]
+    texts = [int(h) for h in often.loc[often["depth"] == 0, "hash"] if vector[h] in valid]
+    inner = kept[(kept["chars"] > 0) & (kept["kind"] != WHOLE)]
+    named = inner[inner["kind"] == MAIN]
+    if len(named):
+        best = named.sort_values(["chars", "depth", "hash"], ascending=[False, True, True])
+    else:
+        most = elements["chars"].max() if len(elements) else 0
+        best = inner[inner["chars"] >= most * MOST_TEXT].sort_values(["depth", "chars", "hash"], ascending=False)
+    return (int(best["hash"].iloc[0]) if len(best) else None), texts
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, texts): the path of each host's main slot, or null, and hashes of the template's texts."""
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
     # Texts leave the tasks as hashes only.
-    keyed = tokens(pages)
-    vector = F.sum(F.shiftrightunsigned(F.xxhash64("page"), 24) * F.col("n")).alias("vector")
-    per_token = keyed.groupBy("host", "path", "hash").agg(F.count("*").alias("support"), vector, F.sum("chars").alias("chars")).where(F.col("support") >= LEAST_PAGES)
+    h = F.xxhash64("page", "n")
+    vector = [F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("v1"), F.sum(F.shiftrightunsigned(h, 32)).alias("v2")]
+    facts = [F.min(c).alias(c) for c in ("above", "depth", "kind")]
+    per_token = tokens(pages).groupBy("host", "hash").agg(F.count("*").alias("support"), *vector, *facts, F.sum("chars").alias("chars")).where(F.col("support") >= LEAST_PAGES)
     often = cut(per_token.join(sizes.hint("merge"), "host").where(F.col("support") >= F.col("pages") * LEAST_SHARE), "html-tokens")
-    # A class is one host's tokens of one vector; its texts are the template's if an element of the page has that vector as well.
-    class_of = often.groupBy("host", "vector", "support").agg(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "chars"))).alias("elements"), F.collect_list(F.when(F.col("path").isNull(), F.col("hash"))).alias("texts"))
-    valid = class_of.where(F.size("elements") > 0)
-    every = valid.groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("texts")).alias("texts"))
-    total = F.aggregate("elements", F.lit(0).cast("long"), lambda a, x: F.greatest(a, x["chars"]))
-    named = F.filter("elements", lambda x: (x["chars"] > 0) & F.regexp_extract(x["path"], r"([^/.]+)[^/]*$", 1).isin(*ARTICLE))
-    rich = F.filter("elements", lambda x: (x["chars"] >= F.col("_total") * MOST_TEXT) & (x["chars"] > 0))
-    depth = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.size(F.split(x["path"], "/")).alias("d"), x["chars"].alias("c"), x["path"].alias("p"))))["p"]
-    fullest = F.array_min(F.transform(named, lambda x: F.struct((-x["chars"]).alias("c"), F.size(F.split(x["path"], "/")).alias("d"), x["path"].alias("p"))))["p"]
-    return every.withColumn("_total", total).select("host", F.coalesce(fullest, depth(rich)).alias("main"), "texts")
-
-
-def main_text(html: str | None, main: str | None, texts) -> str:
-    kept = [b for b in blocks(html or "") if not b[2]]
+
+    def deduced(host: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        # So many tokens stand on LEAST_SHARE of the host's pages: no more than 1 / LEAST_SHARE times those of a page.
+        main, texts = template(part)
+        return pd.DataFrame({"host": [host[0]], "main": pd.array([main], "Int64"), "texts": [texts]})
+
+    return often.drop("support", "pages").groupBy("host").applyInPandas(deduced, "host string, main long, texts array<long>")
+
+
+def main_text(html: str | None, main: int | None, texts) -> str:
+    page, blocks = parsed(html or "")
+    kept = [b for b in blocks if not b[2]]
     slot = []
-    if main and not WHOLE_PAGE.match(main):
-        slot = [b for b in kept if b[0] == main or b[0].startswith(main + "/")]
+    if main is not None:
+        inside = [False] * len(page.path)
+        for k in range(1, len(inside)):
+            inside[k] = inside[page.parent[k]] or page.path[k] == main
+        slot = [b for b in kept if inside[b[0]]]
     slot = slot or [b for b in kept if b[3]] or kept
     if texts is not None and len(texts):
-        template = {int(x) for x in texts}
-        slot = [b for b in slot if token_hash(b[0], b[1]) not in template] or slot
+        known = {int(x) for x in texts}
+        slot = [b for b in slot if text_hash(page.path[b[0]], b[1]) not in known] or slot
     return "\n".join(text for _, text, _, _ in slot)
 
 
@@ -256,6 +329,14 @@ def extract(pages: DataFrame, *, page_id="page_id", url="url", html="html") -> D
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, mains: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, m, t) for h, m, t in zip(htmls, mains, texts, strict=True)], dtype=object)
-
-    return rows.join(sized(found, MOST_BROADCAST), "host", "left").select("page_id", "url", text("html", "main", "texts").alias("text"))
+        return pd.Series([main_text(h, None if pd.isna(m) else int(m), t) for h, m, t in zip(htmls, mains, texts, strict=True)], dtype=object)
+
+    size = found.agg(F.sum(F.length("host") + 8 * F.size("texts") + 64)).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:
+        hot = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).where("salts > 1"), "html-hosts")
+        salted = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        copies = found.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        joined = salted.join(copies.hint("merge"), ["host", "salt"], "left")
+    return joined.select("page_id", "url", text(F.col("html"), F.col("main").cast("string"), F.col("texts")).alias("text"))
