@@ -7,8 +7,8 @@ different ones different fingerprints.
 
 Canonical equivalence without a normaliser: characters that fall apart into characters without a combining class are
 always replaced by those; a cluster (a character and its combining marks) is taken apart, its marks are put in
-canonical order, and if the whole is one character in another form, it becomes that character. The tables come from
-unicodedata by rule. Texts under U+0300 skip all this.
+canonical order, and if the whole is one character in another form, it becomes that character; Hangul syllables fall apart by
+arithmetic. The tables come from unicodedata by rule. Texts under U+0300 skip all this.
 
 Defined results: a null text counts as empty; empty texts share one fingerprint; repeated rows get equal ones;
 an empty table gives an empty one; extra columns pass through fingerprint(). In compare_edited() rows without a doc_id
@@ -24,14 +24,17 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, unused
 
 #: White space by Unicode but for the blank.
 OTHER_SPACE = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LATIN_SPACE = r"\t-\r\x85\xa0"
 SEED = "fingerprint"
-#: At most so many blocks of ids stand in the broadcast table of neighbours (3 MB).
-MOST_BLOCKS = 100_000
+#: Rows of a block of neighbouring ids, and how many blocks there may be: their bounds stand in the plan.
+BLOCK_ROWS = 20_000
+MOST_BLOCKS = 10_000
+# Fixed values of Unicode: the first of the Hangul syllables, and the numbers of their vowels and finals.
+HANGUL, VOWELS, FINALS = 0xAC00, 21, 28
 #: Shared digests are broadcast up to this number (a row has 32 digits), else joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -90,6 +93,21 @@ def _clustered(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"[{marks}]"), cluster(x)).otherwise(x)), "")
 
 
+def _hangul(text: Column) -> Column:
+    """text with each Hangul syllable taken apart into its letters."""
+    kind = r"\x{ac00}-\x{d7a3}"
+    leads, vowels, finals = ("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
+
+    def apart(c: Column) -> Column:
+        k = F.ascii(c) - HANGUL
+        lead, vowel, final = F.floor(k / (VOWELS * FINALS)), F.floor(k / FINALS) % VOWELS, k % FINALS
+        of = lambda table, i: F.substring(F.lit(table), i.cast("int"), F.lit(1))
+        return F.concat(of(leads, lead + 1), of(vowels, vowel + 1), F.when(final > 0, of(finals, final)).otherwise(F.lit("")))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{kind}]+|[{kind}]"), F.lit(0))
+    return F.when(text.rlike(f"[{kind}]"), F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"^[{kind}]"), apart(x)).otherwise(x)), "")).otherwise(text)
+
+
 def _ranges(chars) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for code in sorted(map(ord, chars)):
@@ -114,7 +132,8 @@ def with_canonical(rows: DataFrame, text: str, out: str) -> DataFrame:
     characters only need no more than the first and the last.
     """
     expanded, single, *_ = _tables()
-    c, wide = F.col(out), F.col("_wide")
+    name = unused(rows.select("*", F.lit(0).alias(out)), "_wide")
+    c, wide = F.col(out), F.col(name)
     far = {x: y for x, y in _foldings().items() if x > "\xff"}
     folded = F.lower(F.coalesce(F.col(text), F.lit("")))
     for x, y in _foldings().items():
@@ -123,12 +142,13 @@ def with_canonical(rows: DataFrame, text: str, out: str) -> DataFrame:
     squeezed = lambda other: F.regexp_replace(c, f"[{other}][ {other}]*| [ {other}]+", " ")
     return (
         rows.withColumn(out, folded)
-        .withColumn("_wide", c.rlike(r"[\x{100}-\x{10ffff}]"))
+        .withColumn(name, c.rlike(r"[\x{100}-\x{10ffff}]"))
         .withColumn(out, F.when(wide, _mapped(c, far)).otherwise(c))
         .withColumn(out, F.when(wide, _mapped(c, expanded | single)).otherwise(c))
+        .withColumn(out, F.when(wide, _hangul(c)).otherwise(c))
         .withColumn(out, F.when(wide & c.rlike(r"\p{M}"), _clustered(c)).otherwise(c))
         .withColumn(out, F.btrim(F.when(wide, squeezed(OTHER_SPACE)).otherwise(squeezed(LATIN_SPACE))))
-        .drop("_wide")
+        .drop(name)
     )
 
 
@@ -161,29 +181,43 @@ def resolved(rows: DataFrame, fp: str, canon: str, clash: DataFrame) -> DataFram
     """rows with the suffix added to fp where its digest is shared by different texts."""
     if clash.isEmpty():
         return rows
-    keyed = clash.select(F.col("_fp").alias("_k"), F.col("_canon").alias("_t"), "_place")
-    joined = rows.join(keyed, (F.col(fp) == F.col("_k")) & (F.col(canon) == F.col("_t")), "left")
-    return joined.withColumn(fp, F.concat(fp, F.coalesce(F.concat(F.lit("-"), F.col("_place").cast("string")), F.lit("")))).drop("_k", "_t", "_place")
+    k, t, place = (unused(rows, x) for x in ("_k", "_t", "_place"))
+    keyed = clash.select(F.col("_fp").alias(k), F.col("_canon").alias(t), F.col("_place").alias(place))
+    joined = rows.join(keyed, (F.col(fp) == F.col(k)) & (F.col(canon) == F.col(t)), "left")
+    return joined.withColumn(fp, F.concat(fp, F.coalesce(F.concat(F.lit("-"), F.col(place).cast("string")), F.lit("")))).drop(k, t, place)
 
 
 def fingerprint(docs: DataFrame, *, text="text", out="fingerprint", make=digest) -> DataFrame:
     """docs with the column out."""
-    rows = with_canonical(docs, text, "_canon")
-    clash = collisions(rows.select("_canon"), make)
-    return resolved(rows.withColumn(out, make(F.col("_canon"))), out, "_canon", clash).drop("_canon")
+    canon = unused(docs, "_canon")
+    rows = with_canonical(docs, text, canon)
+    clash = collisions(rows.select(F.col(canon).alias("_canon")), make)
+    return resolved(rows.withColumn(out, make(F.col(canon))), out, canon, clash).drop(canon)
+
+
+def _number_of(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most x, by halving; null for null."""
+    if not bounds:
+        return F.when(x.isNotNull(), F.lit(0).cast("long"))
+    table = F.array(*map(F.lit, bounds)).cast("array<long>")
+
+    def halve(acc: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(table, acc + step - 1) <= x, F.lit(False)), acc + step).otherwise(acc)
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.when(x.isNotNull(), F.aggregate(steps, F.lit(0), halve).cast("long"))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id, ...) with next_<column> of the next row by descending doc_id; after the last comes the first.
 
-    Ids are cut into blocks, each ordered by itself; the top row of a block is also a guest, ordered last, in the next
+    Ids are cut into blocks of some BLOCK_ROWS rows, each ordered by itself; the top row of a block is also a guest, ordered last, in the next
     block above that has rows, and that of the highest block in the lowest: the order is a ring.
     Rows that share a doc_id are ordered by the other columns. A row alone is its own next.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(256, -(-(high - low + 1) // MOST_BLOCKS))
-    block = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long")
+    n_blocks = min(MOST_BLOCKS, -(-docs.count() // BLOCK_ROWS))
+    bounds = docs.agg(F.percentile_approx("doc_id", [k / n_blocks for k in range(1, n_blocks)], 100 * n_blocks)).first()[0] if n_blocks > 1 else []
+    block = _number_of(F.col("doc_id"), sorted(set(bounds or [])))
     every = Window.orderBy("_b")  # over at most MOST_BLOCKS rows
     lowest = F.first("_b").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     blocks = docs.groupBy(block.alias("_b")).agg(F.max("doc_id").alias("_top")).withColumn("_above", F.coalesce(F.lead("_b").over(every), lowest))
@@ -209,10 +243,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     rows = with_next(own, ["text", "fingerprint"]).withColumn("n_chars", n.cast("long"))
     rows = rows.withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
     rows = with_canonical(rows, "_edited", "_other").withColumn("edited_fingerprint", digest(F.col("_other")))
+    rows = resolved(rows, "edited_fingerprint", "_other", clash)
     # Bytes are compared where the digests are equal; the place behind a digest is not part of it.
-    alike = F.col("edited_fingerprint") == F.substring("fingerprint", 1, 32)
+    alike = F.substring("edited_fingerprint", 1, 32) == F.substring("fingerprint", 1, 32)
     rows = with_canonical(rows.withColumn("_own", F.when(alike, F.col("text"))), "_own", "_canon").withColumn("_same", alike & (F.col("_canon") == F.col("_other")))
-    rows = rows.withColumn("edited_fingerprint", F.when(F.col("_same"), F.col("fingerprint")).otherwise(F.col("edited_fingerprint")))
+    # An edited text that has no place of its own and only shares the digest is no document's text.
+    other = alike & ~F.col("_same") & (F.col("edited_fingerprint") == F.col("fingerprint"))
+    rows = rows.withColumn("edited_fingerprint", F.when(other, F.concat("edited_fingerprint", F.lit("-edited"))).otherwise(F.col("edited_fingerprint")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         F.col("_same").cast("double").alias("near_edited"),
