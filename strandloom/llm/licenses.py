@@ -7,13 +7,13 @@ identifiers is matched against the ordered RULES; the first rule that matches gi
 the sequence's kind, and all that match are listed.
 
 Defined results: null and empty texts have no sentence and the licence 'none'; sentences that are not
-known are skipped; repeated rows each get their row, and rows that share a doc_id share their sentences; rows without a
-doc_id have none; an empty table gives an empty one; extra columns are not used.
+known are skipped; every row is judged by its own text, whatever its doc_id; an empty table gives an empty one; extra
+columns are not used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Well-known sentences of public licence notices, normalised (lower case, each run of
@@ -106,6 +106,19 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 
 
+def _guards() -> list[str]:
+    """Words such that each sentence has one of them, taken by how many sentences are left that have them."""
+    left, out = [t for _, t in SENTENCES], []
+    while left:
+        words = sorted({w for t in left for w in t.split() if len(w) > 4 or w == max(t.split(), key=len)})
+        out.append(max(words, key=lambda w: sum(w in t.split() for t in left)))
+        left = [t for t in left if out[-1] not in t.split()]
+    return out
+
+
+GUARDS = _guards()
+
+
 def _pattern(ids: list[str]) -> str:
     return " " + " (.* )?".join(ids) + " "
 
@@ -114,28 +127,22 @@ def scan(docs: DataFrame, *, text="text", doc_id="doc_id") -> DataFrame:
     """Per row of docs: doc_id, sentence_ids (in order, blank-joined), license (of the first rule that
     matches, or 'none'), licenses (all that match, in rule order, comma-joined).
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(SENTENCES, "_sid string, _sentence string")
-    # Rows may repeat a doc_id, so each row gets a key of its own for the way through the join.
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    split_at = lambda c: F.split(F.regexp_replace(c, r"([.!?;])\s+", "$1\n"), "\n", -1)
-    leaders = F.regexp_replace(F.col("_text"), r"\n[ \t]*(//|\*|#|--)?[ \t]*(?=[^\s/*#-])", " ")
-    units = rows.select(
-        "_doc",
-        F.explode(F.array(F.struct(F.lit(0).alias("_way"), split_at(F.col("_text")).alias("_a")), F.struct(F.lit(1).alias("_way"), split_at(leaders).alias("_a")))).alias("_u"),
-    ).select("_doc", F.col("_u._way").alias("_way"), F.posexplode("_u._a").alias("_pos", "_raw"))
-    normal = F.trim(F.regexp_replace(F.translate("_raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    hits = units.withColumn("_sentence", normal).join(F.broadcast(known), "_sentence")
-    # A document that repeats a sentence repeats its identifier; rows of the same doc_id and place are one.
-    sequences = (
-        hits.groupBy("_doc", "_way")
-        .agg(F.array_sort(F.collect_set(F.struct("_pos", "_sid"))).alias("_ids"))
-        .groupBy("_doc")
-        .agg(F.max(F.struct(F.size("_ids").alias("n"), (-F.col("_way")).alias("w"), F.col("_ids._sid").alias("ids"))).alias("_best"))
-        .select("_doc", F.array_join("_best.ids", " ").alias("sentence_ids"))
-    )
-    out = docs.select(F.col(doc_id).alias("doc_id")).join(sequences, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    out = out.withColumn("sentence_ids", F.coalesce("sentence_ids", F.lit("")))
+    known = F.map_from_arrays(F.array(*[F.lit(t) for _, t in SENTENCES]), F.array(*[F.lit(i) for i, _ in SENTENCES]))
+    body = F.coalesce("_text", F.lit(""))
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaders = F.regexp_replace(body, r"\n[ \t]*(//|\*|#|--)?[ \t]*(?=[^\s/*#-])", " ")
+
+    def found_in(c: Column, way: int) -> Column:
+        normal = lambda s: F.trim(F.regexp_replace(lower(s), "[^a-z0-9]+", " "))
+        ids = F.transform(F.split(F.regexp_replace(c, r"([.!?;])\s+", "$1\n"), "\n", -1), lambda s: F.try_element_at(known, normal(s)))
+        return F.transform(F.array(F.array_compact(ids)), lambda x: F.struct(F.size(x).alias("n"), F.lit(-way).alias("w"), x.alias("ids")))
+
+    best = F.array_max(F.concat(found_in(body, 0), found_in(leaders, 1)))["ids"]
+    maybe = F.lit(False)
+    for word in GUARDS:
+        maybe = maybe | F.contains(F.col("_lower"), F.lit(word))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("_lower", lower(F.coalesce("_text", F.lit(""))))
+    out = rows.select("doc_id", F.when(maybe, F.array_join(best, " ")).otherwise(F.lit("")).alias("sentence_ids"))
     padded = F.concat(F.lit(" "), "sentence_ids", F.lit(" "))
     found = F.array_distinct(F.array_compact(F.array(*[F.when(padded.rlike(_pattern(ids)), F.lit(name)) for name, ids in RULES])))
     return out.withColumn("_found", found).select(
