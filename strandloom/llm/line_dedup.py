@@ -9,7 +9,7 @@ Defined results: a null text has no lines and stays null; an empty text has no l
 blank lines are never removed; rows with a null site add no site; rows that repeat a doc_id count as
 the same place, so a line's first place may stay in each of them; rows without a doc_id lose no line; an empty table
 gives an empty one.
-Extra columns pass through untouched.
+Extra columns pass through untouched, whatever their names; columns n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, unused
 
 #: ASCII white space that is stripped from both ends of a line before lines are compared.
 STRIPPED = " \t\r\x0b\x0c"
@@ -26,6 +26,10 @@ MIN_SITES = 5
 #: At 2^12 registers the error is under 2 %, so this band is wide.
 SURE = 1.5
 LG_K = 12
+#: Boilerplate lines that are broadcast (some 50 bytes each). Beyond it they are joined by a shuffle, but for those that
+#: stand more than HOT times: there are at most as many of them as lines by HOT.
+MOST_BROADCAST = 200_000
+HOT = 1_000_000
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str, site: str) -> DataFrame:
@@ -43,14 +47,15 @@ def _lines(docs: DataFrame, text: str, doc_id: str, site: str) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, *, text="text", doc_id="doc_id", site="source", min_sites: int = MIN_SITES) -> DataFrame:
-    """(_h1, _h2, _first): hashes of the lines on at least min_sites sites, and each one's first place."""
+    """(_h1, _h2, _first, _n): hashes of the lines on at least min_sites sites, each one's first place and number."""
     lines = _lines(docs, text, doc_id, site)
     spread = lines.groupBy("_h1", "_h2").agg(
         F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"),
         F.min(F.struct("_id", "_pos")).alias("_first"),
+        F.count("*").alias("_n"),
     )
     estimated = cut(
-        spread.select("_h1", "_h2", "_first", F.hll_sketch_estimate("_sketch").alias("_sites")).where(
+        spread.select("_h1", "_h2", "_first", "_n", F.hll_sketch_estimate("_sketch").alias("_sites")).where(
             F.col("_sites") >= min_sites / SURE
         ),
         "line-spread",
@@ -64,8 +69,8 @@ def boilerplate(docs: DataFrame, *, text="text", doc_id="doc_id", site="source",
         .groupBy("_h1", "_h2").agg(F.count("_site").alias("_exact"))
         .where(F.col("_exact") >= min_sites)
     )
-    counted = near.join(exact, ["_h1", "_h2"]).select("_h1", "_h2", "_first")
-    return cut(estimated.where(sure).select("_h1", "_h2", "_first").unionByName(counted), "line-boilerplate")
+    counted = near.join(exact, ["_h1", "_h2"]).select("_h1", "_h2", "_first", "_n")
+    return cut(estimated.where(sure).select("_h1", "_h2", "_first", "_n").unionByName(counted), "line-boilerplate")
 
 
 def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", site="source", min_sites: int = MIN_SITES, spare_emptied: bool = False) -> DataFrame:
@@ -75,29 +80,33 @@ def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", site="source",
     a line worth comparing keeps all its lines.
     """
     found = boilerplate(docs, text=text, doc_id=doc_id, site=site, min_sites=min_sites)
-    gone = (
-        _lines(docs, text, doc_id, site)
-        .join(found, ["_h1", "_h2"])
-        .where(F.struct("_id", "_pos") != F.col("_first"))
-        .select("_id", "_pos")
-    )
-    drops = cut(gone, "line-drops").groupBy("_id").agg(F.collect_set("_pos").alias("_drop"))
+    lines = _lines(docs, text, doc_id, site)
+    key = ["_h1", "_h2"]
+    if found.count() <= MOST_BROADCAST:
+        hits = lines.join(F.broadcast(found), key)
+    else:
+        hot = F.broadcast(found.where(F.col("_n") > HOT))
+        rest = lines.join(hot, key, "left_anti").join(found.where(F.col("_n") <= HOT).hint("merge"), key)
+        hits = lines.join(hot, key).unionByName(rest)
+    gone = hits.where(F.struct("_id", "_pos") != F.col("_first")).select("_id", "_pos")
+    own, drop = (unused(docs, x) for x in ("_id", "_drop"))
+    drops = cut(gone, "line-drops").groupBy(F.col("_id").alias(own)).agg(F.collect_set("_pos").alias(drop))
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
     # The same plan at every size: texts are dealt out by id, whether or not the drops happen to be few.
-    joined = docs.join(drops.hint("merge"), F.col(doc_id) == F.col("_id"), "left")
-    clean = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(
+    joined = docs.join(drops.hint("merge"), docs[doc_id] == drops[own], "left")
+    clean = F.when(F.col(drop).isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
-    n_removed = F.coalesce(F.size("_drop"), F.lit(0))
+    n_removed = F.coalesce(F.size(drop), F.lit(0))
     if spare_emptied:
-        emptied = F.col("_drop").isNotNull() & (F.length(F.btrim(clean, F.lit(STRIPPED + "\n"))) == 0)
+        emptied = F.col(drop).isNotNull() & (F.length(F.btrim(clean, F.lit(STRIPPED + "\n"))) == 0)
         clean, n_removed = F.when(emptied, F.col(text)).otherwise(clean), F.when(emptied, 0).otherwise(n_removed)
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
         .withColumn("n_removed", n_removed.cast("long"))
         .withColumn(text, clean)
-        .drop("_id", "_drop")
+        .drop(own, drop)
     )
 
 

@@ -55,7 +55,7 @@ def fold(text):
     return re.sub(r"\s+", " ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", text or "").casefold())).strip()
 
 
-FORMS = ["é", "é", "É", "É", "ệ", "ệ", "ệ", "ệ", "Å", "Å", "Å", "ொ", "ொ", "क़", "क़", "ß", "SS", "Straße", "STRASSE", "ΣΑΣ", "σας", "  a \t b ", "a b", "ෝ", "ෝ", "q̣̇", "q̣̇", "\U0001d15e", "x́y éz", "", None, " ", "a\x00b"]
+FORMS = ["é", "é", "É", "É", "ệ", "ệ", "ệ", "ệ", "Å", "Å", "Å", "ொ", "ொ", "क़", "क़", "ß", "SS", "Straße", "STRASSE", "ΣΑΣ", "σας", "  a \t b ", "a b", "ෝ", "ෝ", "q̣̇", "q̣̇", "\U0001d15e", "x́y éz", "", None, " ", "a\x00b", "\uac00", "\u1100\u1161", "\uac01", "\uac00\u11a8", "\u1100\u1161\u11a8", "\ud7a3\u0301 \uac00", "\u1112\u1175\u11c2\u0301 \u1100\u1161"]
 
 
 def test_fingerprints_follow_canonical_equality(spark):
@@ -69,8 +69,9 @@ def test_fingerprints_follow_canonical_equality(spark):
     assert fingerprints.fingerprint(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("ids", [[5], [3, 900], list(range(0, 4000, 7)), [-700, -1, 0, 255, 256, 511, 10**12]])
-def test_edited_texts(spark, ids):
+@pytest.mark.parametrize("ids", [[5], [3, 900], list(range(0, 4000, 7)), [-700, -1, 0, 255, 256, 511, 10**12], [*range(300), 10**15]])
+def test_edited_texts(spark, ids, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 50)
     rnd = random.Random(1)
     rows = [(i, "".join(rnd.choice("ab é\n") for _ in range(rnd.randint(0, 9)))) for i in ids]
     got = {r.doc_id: r for r in fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -133,18 +134,9 @@ def test_secrets(spark):
         want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         want.sort(key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
         assert [tuple(s) for s in out[i].base] == want
-    assert [tuple(s) for s in out[len(texts) - 1].spans] == [("format", 8, 32)]
     assert secret_scan.scan(docs_of(spark, texts).limit(0)).count() == 0
 
 
-def test_automata_accept_their_format():
-    rnd = random.Random(4)
-    keys = ["AK" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(14)) for _ in range(300)]
-    ((automaton, bar),) = secret_scan.learn({"access": keys})
-    good = sum(automaton.score(secret_scan.classes(k)) >= bar for k in keys)
-    assert good >= 0.97 * len(keys) and automaton.score(secret_scan.classes("ordinarywordsinlower")) < bar
-
-
 def test_decontamination(spark):
     rnd = random.Random(6)
     words = [f"w{k}" for k in range(400)]
@@ -161,13 +153,19 @@ def test_decontamination(spark):
             body[k:k] = part
         texts.append(" ".join(body).upper() if rnd.random() < 0.3 else ", ".join(body))
     texts.append(" ".join(w for i in items for w in i))
+    items += [["alone"], ["three", "short", "words"]]
+    texts += ["the three short words here", "THREE short, words", "three words short", "one alone"]
     benchmark = spark.createDataFrame([*enumerate(" ".join(i) for i in items), (90, None), (91, "")], "item_id long, text string")
-    sets = lambda t: {tuple(w[k : k + 5]) for w in [re.findall("[a-z0-9]+", (t or "").lower())] if w for k in range(max(1, len(w) - 4))}
+    def sets(t, width=5):
+        w = re.findall("[a-z0-9]+", (t or "").lower())
+        return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
     want = set()
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
-            own = sets(" ".join(item))
-            n = len(own & sets(t))
+            width = min(5, len(item))
+            own = sets(" ".join(item), width)
+            n = len(own & sets(t, width))
             if n >= 0.8 * len(own):
                 want.add((d, i, len(own), n))
     docs = docs_of(spark, texts)
