@@ -43,8 +43,11 @@ def checked_query(kmer: Column, k: int) -> Column:
     return F.when(first.rlike(f"^[ACGT]{{{k}}}$"), first).otherwise(F.raise_error(F.concat(F.lit("not a k-mer of bases: "), F.coalesce(kmer, F.lit("null")))))
 
 
-def partition_id(enc: Column, k: int, partitions: int = PARTITIONS) -> Column:
-    return (F.shiftright(enc, check_k(k) // 2) % partitions).cast("int")
+def partition_id(enc: Column, k: int, partitions: int = PARTITIONS, by: str = "middle") -> Column:
+    """by 'middle' takes the k-mer's bits from k / 2 up, 'remainder' the k-mer itself."""
+    if by not in ("middle", "remainder"):
+        raise ValueError(f"by is 'middle' or 'remainder', not {by!r}")
+    return ((F.shiftright(enc, check_k(k) // 2) if by == "middle" else enc) % partitions).cast("int")
 
 
 def normalised(seq: Column) -> Column:
@@ -73,3 +76,15 @@ def unpack_read(header: Column, blocks: Column) -> Column:
 def words_of(blocks: Column) -> Column:
     """32-bit words of an encoded read, the header included."""
     return F.size(blocks) + 1
+
+
+def words_for(seq: Column) -> Column:
+    """The same for a read that is not packed."""
+    return F.ceil(F.length(seq) / BASES_PER_BLOCK) + 1
+
+
+def checked_header(header: Column, blocks: Column) -> Column:
+    """header; an error unless its two high bits are set and its length fits the number of blocks."""
+    length = header - (3 << 30)
+    good = (length >= 0) & (length < 1 << 30) & (F.ceil(length / BASES_PER_BLOCK) == F.size(blocks))
+    return F.when(good, header).otherwise(F.raise_error(F.concat(F.lit("not the header of a packed read: "), F.coalesce(header.cast("string"), F.lit("null")))))

@@ -59,29 +59,45 @@ def _kernel(codes: np.ndarray, k: int, canonical: bool) -> np.ndarray:
     return (np.minimum(forward, backward) if canonical else forward)[good]
 
 
+def _of_bounded_size(column):
+    """Lists of reads that are joined at once: no more than CHUNK bases, or one longer read."""
+    texts, size = [], 0
+    for t in column:
+        t = t.as_py()
+        if t:
+            if size + len(t) > CHUNK and texts:
+                yield texts
+                texts, size = [], 0
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield texts
+
+
 def _counted(reads: DataFrame, k: int, canonical: bool, seq: str) -> DataFrame:
     def batches(parts):
         for part in parts:
-            texts = [t for t in part.column(0).to_pylist() if t]
-            data = CODES[np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)]
-            for a in range(0, len(data), CHUNK):
-                found = _kernel(data[a : a + CHUNK + k - 1], k, canonical)
-                keys, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["enc", "cnt"])
+            for texts in _of_bounded_size(part.column(0)):
+                data = CODES[np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)]
+                for a in range(0, len(data), CHUNK):
+                    found = _kernel(data[a : a + CHUNK + k - 1], k, canonical)
+                    keys, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["enc", "cnt"])
 
     return reads.select(seq).mapInArrow(batches, "enc long, cnt long").groupBy("enc").agg(F.sum("cnt").alias("cnt"))
 
 
-def count(reads: DataFrame, k: int, *, canonical: bool = True, strategy: str = "arrow", count_mode: str = "long", seq: str = "seq") -> DataFrame:
-    """(kmer, cnt). count_mode 'u16' gives counts modulo 65,536."""
+def count(reads: DataFrame, k: int, *, canonical: bool = True, strategy: str = "arrow", count_mode: str = "long", seq: str = "seq", enc: bool = False) -> DataFrame:
+    """(kmer, cnt), and with enc the k-mer as an integer. count_mode 'u16' gives counts modulo 65,536."""
     check_k(k)
     if count_mode not in ("long", "u16"):
         raise ValueError(f"count_mode is 'long' or 'u16', not {count_mode!r}")
     if strategy == "arrow":
-        out = _counted(reads, k, canonical, seq).select(decode_kmer(F.col("enc"), k).alias("kmer"), "cnt")
+        out = _counted(reads, k, canonical, seq).select(decode_kmer(F.col("enc"), k).alias("kmer"), "cnt", *["enc"] * enc)
     elif strategy == "native":
         kmer = canonical_of(F.col("kmer")) if canonical else F.col("kmer")
         out = windows(reads.select(seq), k, seq=seq).groupBy(kmer.alias("kmer")).agg(F.count("*").alias("cnt"))
+        out = encoded(out) if enc else out
     else:
         raise ValueError(f"strategy is 'arrow' or 'native', not {strategy!r}")
     return out.withColumn("cnt", wrapped(F.col("cnt"))) if count_mode == "u16" else out

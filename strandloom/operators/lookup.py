@@ -41,6 +41,7 @@ def lookup(counts: DataFrame, queries: DataFrame, *, mode: str = "exact", dup: s
     return out.select("qid", "kmer", "cnt")
 
 
-def write_result(result: DataFrame, path: str) -> None:
-    """kmer and count by tab, in query order."""
-    result.orderBy("qid").select("kmer", "cnt").write.mode("overwrite").csv(path, sep="\t")
+def write_result(result: DataFrame, path: str, *, one_file: bool = False) -> None:
+    """kmer and count by tab, in query order; over several files in their order, or for lists of a file's size in one."""
+    rows = result.orderBy("qid").select("kmer", "cnt")
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, sep="\t")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import pack_read, read_header, unpack_read, words_of
+from ..functions.codec import checked_header, pack_read, read_header, unpack_read, words_for
 
 
 def pack(reads: DataFrame, *, seq: str = "seq") -> DataFrame:
@@ -17,6 +17,18 @@ def unpack(packed: DataFrame, *, seq: str = "seq") -> DataFrame:
     return packed.withColumn(seq, unpack_read(F.col("header"), F.col("blocks"))).drop("header", "blocks")
 
 
-def packed_size(packed: DataFrame) -> DataFrame:
-    """(reads, bytes)."""
-    return packed.agg(F.count("*").alias("reads"), (F.coalesce(F.sum(words_of(F.col("blocks"))), F.lit(0)) * 4).alias("bytes"))
+def save(packed: DataFrame, path: str, *, mode: str = "overwrite") -> None:
+    """Packed reads as Parquet."""
+    packed.write.mode(mode).parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Stored packed reads; an error where a header is none or doesn't fit its blocks. Null reads stay null."""
+    packed = spark.read.parquet(path)
+    header = F.when(F.col("header").isNotNull() | F.col("blocks").isNotNull(), checked_header(F.col("header"), F.col("blocks")))
+    return packed.withColumn("header", header)
+
+
+def packed_size(reads: DataFrame, *, seq: str = "seq") -> DataFrame:
+    """(reads, bytes) that reads take when packed, from their lengths alone."""
+    return reads.agg(F.count("*").alias("reads"), (F.coalesce(F.sum(words_for(F.col(seq))), F.lit(0)) * 4).alias("bytes"))

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import PARTITIONS, check_k, encode_kmer, partition_id
+from ..functions.codec import PARTITIONS, check_k, decode_kmer, encode_kmer, partition_id
+from ..functions.hashing import kmer_hash
 
 
-def partitioned(counts: DataFrame, k: int, partitions: int = PARTITIONS) -> DataFrame:
+#: K-mers of a part that one task writes.
+ROWS_PER_TASK = 10_000_000
+
+
+def partitioned(counts: DataFrame, k: int, partitions: int = PARTITIONS, by: str = "middle") -> DataFrame:
     """(k, kmer, enc, cnt, part)."""
-    rows = counts.withColumn("enc", encode_kmer(F.col("kmer")))
-    return rows.select(F.lit(check_k(k)).alias("k"), "kmer", "enc", "cnt", partition_id(F.col("enc"), k, partitions).alias("part"))
+    rows = counts if "enc" in counts.columns else counts.withColumn("enc", encode_kmer(F.col("kmer")))
+    return rows.select(F.lit(check_k(k)).alias("k"), "kmer", "enc", "cnt", partition_id(F.col("enc"), k, partitions, by).alias("part"))
 
 
-def save(counts: DataFrame, k: int, path: str, *, partitions: int = PARTITIONS, mode: str = "overwrite") -> None:
-    """Parquet by part; each part is sorted, so that a lookup skips row groups. Rows are dealt out by part and a salt, as parts may be large."""
-    rows = partitioned(counts, k, partitions).withColumn("_salt", F.pmod(F.xxhash64("enc"), F.lit(8)))
-    rows.repartition("part", "_salt").drop("_salt").sortWithinPartitions("part", "enc").write.mode(mode).partitionBy("part").parquet(path)
+def save(counts: DataFrame, k: int, path: str, *, partitions: int = PARTITIONS, mode: str = "overwrite", n_rows: int | None = None) -> None:
+    """Parquet by part; each part is sorted, so that a lookup skips row groups. Rows are dealt out by part and a salt, as
+    parts may be large: n_rows, if known, says into how many tasks. mode 'append' adds to a stored table; added_up() makes one row of equal k-mers again."""
+    salts = max(1, -(-(n_rows or 8 * ROWS_PER_TASK * partitions) // (ROWS_PER_TASK * partitions)))
+    rows = partitioned(counts, k, partitions).withColumn("_salt", F.pmod(kmer_hash(F.col("enc")), F.lit(salts)))
+    rows.repartition(salts * partitions, "part", "_salt").drop("_salt").sortWithinPartitions("part", "enc").write.mode(mode).partitionBy("part").parquet(path)
 
 
 def load(spark: SparkSession, path: str, k: int, parts: list[int] | None = None) -> DataFrame:
@@ -29,6 +36,11 @@ def load(spark: SparkSession, path: str, k: int, parts: list[int] | None = None)
     return table.where(F.col("part").isin(parts)) if parts is not None else table
 
 
+def added_up(table: DataFrame) -> DataFrame:
+    """A stored table to which counts were appended, with one row for each k-mer; parts stay apart, so nothing but equal rows meets."""
+    return table.groupBy("k", "kmer", "enc", "part").agg(F.sum("cnt").alias("cnt")).select("k", "kmer", "enc", "cnt", "part")
+
+
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """(kmer, cnt) of two count tables added up."""
     both = a.select("kmer", "cnt").unionByName(b.select("kmer", "cnt"))
@@ -48,9 +60,14 @@ def from_flat(arrays: DataFrame, k: int) -> DataFrame:
     return rows.select("x.enc", "x.cnt")
 
 
-def partition_stats(counts: DataFrame, k: int, partitions: int = PARTITIONS) -> DataFrame:
+def merge_flat(counts: DataFrame, arrays: DataFrame, k: int) -> DataFrame:
+    """(kmer, cnt) of a count table with the counts of flat arrays added."""
+    return merge(counts, from_flat(arrays, k).select(decode_kmer(F.col("enc"), k).alias("kmer"), "cnt"))
+
+
+def partition_stats(counts: DataFrame, k: int, partitions: int = PARTITIONS, by: str = "middle") -> DataFrame:
     """(part, distinct_kmers, total)."""
-    return partitioned(counts, k, partitions).groupBy("part").agg(F.count("*").alias("distinct_kmers"), F.sum("cnt").alias("total"))
+    return partitioned(counts, k, partitions, by).groupBy("part").agg(F.count("*").alias("distinct_kmers"), F.sum("cnt").alias("total"))
 
 
 def totals(counts: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import decode_kmer
+from ..functions.codec import canonical, decode_kmer
 from ..operators import kmers, lookup, packing, tables
-from ..sources.reads import TEXT_FROM, TEXT_TO, reads_from_text
+from ..sources.reads import TEXT_FROM, TEXT_TO, numbered_lines, read_fastq, read_queries, reads_from_text
 from ..streaming import counts as streaming
 
 LOOKUP_K = 9
@@ -70,7 +70,12 @@ def kmer_encoded_k9(spark, sf_dir):
 
 
 def kmer_partition_stats(spark, sf_dir):
-    return tables.partition_stats(kmer_counts_k9(spark, sf_dir), 9)
+    return tables.partition_stats(kmers.count(_reads(spark, sf_dir), 9, enc=True), 9)
+
+
+def kmer_partition_remainder(spark, sf_dir):
+    """The same with parts by the k-mer's remainder."""
+    return tables.partition_stats(kmers.count(_reads(spark, sf_dir), 9, enc=True), 9, by="remainder")
 
 
 def kmer_distinct_total(spark, sf_dir):
@@ -103,8 +108,64 @@ kmer_lookup_canonical = _lookup(mode="canonical")
 kmer_lookup_dup_last = _lookup(dup="last")
 
 
+def kmer_lookup_stored(spark, sf_dir):
+    """The canonical lookup in a stored table of which only the parts that the queries need are read."""
+    path = _fresh(spark, "kmer-table")
+    tables.save(kmers.count(_reads(spark, sf_dir), LOOKUP_K, enc=True), LOOKUP_K, path, n_rows=4 ** LOOKUP_K)
+    asked = _asked(spark, sf_dir)
+    parts = lookup.parts_of(asked.select(canonical(F.col("kmer")).alias("kmer")), LOOKUP_K)
+    return lookup.lookup(tables.load(spark, path, LOOKUP_K, parts), asked, mode="canonical")
+
+
+def kmer_appended(spark, sf_dir):
+    """A stored table of the documents with even ids, to which the others' counts are appended."""
+    path, reads = _fresh(spark, "kmer-table"), _reads(spark, sf_dir)
+    for r, mode in ((0, "overwrite"), (1, "append")):
+        tables.save(kmers.count(reads.where(F.col("doc_id") % 2 == r), 9, enc=True), 9, path, mode=mode, n_rows=4**9)
+    return tables.added_up(tables.load(spark, path, 9)).select("kmer", "enc", "cnt", F.col("part").cast("int").alias("part"))
+
+
+def kmer_merge_flat(spark, sf_dir):
+    """Counts of documents with even ids, merged with those of the others as flat arrays."""
+    reads = _reads(spark, sf_dir)
+    half = lambda r: kmers.count(reads.where(F.col("doc_id") % 2 == r), 9, enc=True)
+    return tables.merge_flat(half(0), tables.flat(tables.partitioned(half(1), 9)), 9)
+
+
+def kmer_flat(spark, sf_dir):
+    """The count table as one array for each part, its size and its first and last number."""
+    arrays = tables.flat(tables.partitioned(kmers.count(_reads(spark, sf_dir), 9, enc=True), 9))
+    return arrays.select("part", F.size("pairs").cast("long").alias("n"), F.get("pairs", F.lit(0)).alias("first_enc"), F.element_at("pairs", -1).alias("last_cnt"))
+
+
+def fastq_scan(spark, sf_dir):
+    """Document lines written as FASTQ records and read back; how often each sequence stands there."""
+    path = _fresh(spark, "fastq")
+    record = F.concat_ws("\n", F.format_string("@%d:%d", "doc_id", "line"), "seq", F.lit("+"), F.repeat(F.lit("I"), F.length("seq")))
+    _reads(spark, sf_dir).select(record.alias("value")).write.text(path)
+    return read_fastq(spark, path).groupBy("seq").agg(F.count("*").alias("n_reads"))
+
+
+def kmer_lookup_file(spark, sf_dir):
+    """A query list from a text file, looked up, and the result file read back: its lines in query order."""
+    asked, listed, found = _asked(spark, sf_dir), _fresh(spark, "kmer-queries"), _fresh(spark, "kmer-result")
+    # A list of queries is one file, as its lines are numbered.
+    asked.orderBy("qid").select("kmer").coalesce(1).write.text(listed)
+    queries = read_queries(spark, listed, LOOKUP_K, asked.count())
+    lookup.write_result(lookup.lookup(kmers.count(_reads(spark, sf_dir), LOOKUP_K), queries), found, one_file=True)
+    row = F.split("text", "\t")
+    return numbered_lines(spark, found).select("line", row[0].alias("kmer"), row[1].cast("long").alias("cnt"))
+
+
+def encoded_store(spark, sf_dir):
+    """Packed reads stored, read with their headers checked, and unpacked."""
+    path = _fresh(spark, "packed-reads")
+    packing.save(packing.pack(_reads(spark, sf_dir)), path)
+    return packing.unpack(packing.load(spark, path)).select("doc_id", "line", "seq")
+
+
 def encoded_size(spark, sf_dir):
-    return packing.packed_size(packing.pack(_reads(spark, sf_dir)))
+    return packing.packed_size(_reads(spark, sf_dir))
 
 
 def stream_counts(spark, sf_dir):
@@ -120,6 +181,12 @@ def _shared(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 QUERIES = {
     f: globals()[f]
     for f in (
@@ -127,6 +194,7 @@ QUERIES = {
         "kmer_counts_k5", "kmer_counts_k9", "kmer_counts_k21", "kmer_counts_k31", "kmer_counts_native_k9", "kmer_counts_forward_k9", "kmer_counts_u16_k2",
         "kmer_encoded_k9", "kmer_partition_stats", "kmer_distinct_total", "kmer_merge",
         "kmer_lookup_exact", "kmer_lookup_canonical", "kmer_lookup_dup_last", "encoded_size", "stream_counts",
+        "kmer_partition_remainder", "kmer_lookup_stored", "kmer_appended", "kmer_merge_flat", "kmer_flat", "fastq_scan", "kmer_lookup_file", "encoded_store",
     )
 }
 
@@ -179,4 +247,12 @@ ORACLE_SQL = {
     "kmer_lookup_dup_last": _lookup_sql("kmer", "CASE WHEN qid = last THEN coalesce(cnt, 0) ELSE 0 END"),
     "encoded_size": f"WITH {READS} SELECT count(*) AS reads, (sum(1 + (length(seq) + 9) // 10) * 4)::BIGINT AS bytes FROM reads",
     "stream_counts": _count_sql(5),
+    "kmer_partition_remainder": f"WITH {COUNTS9} SELECT ({ENC.format('kmer')}) % 100 AS part, count(*) AS distinct_kmers, sum(cnt)::BIGINT AS total FROM k GROUP BY 1",
+    "kmer_lookup_stored": _lookup_sql("least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))", "coalesce(cnt, 0)"),
+    "kmer_appended": f"WITH {COUNTS9}, e AS (SELECT kmer, {ENC.format('kmer')} AS enc, cnt FROM k) SELECT kmer, enc, cnt, ((enc >> 4) % 100)::INT AS part FROM e",
+    "kmer_merge_flat": _count_sql(9),
+    "kmer_flat": f"WITH {COUNTS9}, e AS (SELECT {ENC.format('kmer')} AS enc, cnt FROM k) SELECT ((enc >> 4) % 100)::INT AS part, 2 * count(*) AS n, min(enc) AS first_enc, arg_max(cnt, enc) AS last_cnt FROM e GROUP BY 1",
+    "fastq_scan": f"WITH {READS} SELECT seq, count(*) AS n_reads FROM reads GROUP BY 1",
+    "kmer_lookup_file": f"WITH x AS ({_lookup_sql('kmer', 'coalesce(cnt, 0)')}) SELECT row_number() OVER (ORDER BY qid) - 1 AS line, kmer, cnt FROM x",
+    "encoded_store": f"WITH {READS} SELECT doc_id, line, seq FROM reads",
 }

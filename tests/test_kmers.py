@@ -101,7 +101,18 @@ def test_packing(spark):
     assert got[1][1] == [21763265] and got[2][1] == [21763265, 268435456] and got[3][1] == []
     back = [r.seq for r in packing.unpack(packed).orderBy("id").collect()]
     assert back == ["ACGTN", "ACGTACGTAC", "ACGTACGTACG", "", "NNNNNACGT", None]
-    assert packing.packed_size(packed.where("header is not null")).first()["bytes"] == 4 * (2 + 2 + 3 + 1 + 2)
+    assert packing.packed_size(frame(spark, seqs)).first()["bytes"] == 4 * (2 + 2 + 3 + 1 + 2)
+
+
+def test_stored_packed_reads(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    seqs = ["ACGTN", "ACGTACGTACG", "", None]
+    packing.save(packing.pack(frame(spark, seqs)), path)
+    assert sorted(str(r.seq) for r in packing.unpack(packing.load(spark, path)).collect()) == sorted(map(str, seqs))
+    for header, blocks in ((5, [1]), ((3 << 30) + 11, [1]), (None, [1])):
+        packing.save(spark.createDataFrame([(header, blocks)], "header long, blocks array<long>"), path)
+        with pytest.raises(PySparkException):
+            packing.load(spark, path).collect()
 
 
 def test_lookup(spark):
@@ -134,6 +145,13 @@ def test_tables(spark, tmp_path):
     assert {tuple(r) for r in again.collect()} == {(r.enc, r.cnt) for r in stored.collect()}
     stats = tables.partition_stats(counts, 5).agg(F.sum("total"), F.sum("distinct_kmers")).first()
     assert tuple(stats) == (sum(c for _, c in want), len(want)) == tuple(tables.totals(counts).first())[1::-1]
+    assert {tuple(r) for r in tables.merge_flat(counts, tables.flat(stored), 5).collect()} == {(k, 2 * c) for k, c in want}
+    tables.save(counts, 5, path, mode="append", n_rows=len(want))
+    assert {(r.kmer, r.cnt) for r in tables.added_up(tables.load(spark, path, 5)).collect()} == {(k, 2 * c) for k, c in want}
+    by_rest = {(r.part, r.enc % 100) for r in tables.partitioned(counts, 5, by="remainder").collect()}
+    assert all(a == b for a, b in by_rest)
+    with pytest.raises(ValueError):
+        tables.partitioned(counts, 5, by="x")
     lookup.write_result(lookup.lookup(counts, queries), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["AAAAA\t1", "GGGGG\t0"]
 
