@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from ._common import cut, sized
+from ._common import cut, sized, unused
 from .components import components
 
 #: Sets above this size are never enumerated; it bounds a set's subsets.
@@ -407,5 +407,6 @@ def join(docs: DataFrame, *, text="text", doc_id="doc_id", width: int = 3, perce
 def one_of_each(docs: DataFrame, *, text="text", doc_id="doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with only the smallest doc_id of each component; all its columns and rows stay."""
     groups = join(docs, text=text, doc_id=doc_id, width=width, percent=percent)
-    gone = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    return docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "join-gone")
+    return docs.join(gone.hint("merge"), docs[doc_id] == gone[name], "left_anti")
