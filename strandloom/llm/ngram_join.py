@@ -44,10 +44,10 @@ SHORT_LIST = 8
 CORE, NEAR, TAIL = 0, 1, 2
 #: Ids that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: When no more pairs than this are left for each row of the first lists, or after so many rounds, all lists give their
-#: pairs; no link is lost either way.
-FEW_PAIRS = 4
-MOST_ROUNDS = 8
+#: When no more pairs than this are left for each row of the first lists, when a round joined no components, or after so
+#: many rounds, all lists give their pairs; no link is lost either way.
+FEW_PAIRS = 12
+MOST_ROUNDS = 4
 #: In groups of more sets than CROWDED, hashes in more than one of CROWDED_SHARE differences go last. There are at most
 #: CROWDED_SHARE times as many of them as a difference lists.
 CROWDED = 64
@@ -339,9 +339,9 @@ def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> Da
     raw = {"comp": F.col("id"), "role": F.lit(CORE), "pos": F.lit(0), "differ": F.lit(None).cast("int")}
     tasks = max(LEAST_TASKS, lists.count() // TASK_ROWS)
     lists = distinct_lists(lists.withColumns(raw), "join-lists", tasks)
-    n_rows = lists.count()
+    n_rows, grown = lists.count(), True
     for turn in range(MOST_ROUNDS + 1):
-        last = turn == MOST_ROUNDS or (lists.agg(F.sum(F.col("work") / F.col("length"))).first()[0] or 0) <= FEW_PAIRS * n_rows
+        last = turn == MOST_ROUNDS or not grown or (lists.agg(F.sum(F.col("work") / F.col("length"))).first()[0] or 0) <= FEW_PAIRS * n_rows
         short = F.lit(True) if last else F.col("work") <= F.col("length") * SHORT_LIST
         long = lists.where(~short)
         # First, sets whose places are in the longest lists are the least edited; then those nearest to the last leader.
@@ -357,7 +357,8 @@ def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> Da
         own_sets = cut(sets_of(ends), "join-sets")
         seen = cut(compared(pairs, own_sets, percent), "join-compared")
         found = seen.where("linked").select("a", "b")
-        labels = merged(labels, edges.unionByName(found) if turn == 0 else found, tasks)
+        before, labels = labels, merged(labels, edges.unionByName(found) if turn == 0 else found, tasks)
+        grown = labels is not before
         named = sized(labels, MOST_BROADCAST).withColumnRenamed("id", "a")
         open_ = seen.where("rest is not null").join(named, "a", "left")
         open_ = open_.groupBy("b").agg(*[f(F.coalesce("comp", "a")).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))], F.count("*").alias("size"))
