@@ -256,7 +256,7 @@ def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     Where sets stand with their difference from a leader, a pair that links has its first common hash so early in both
     that the hashes after it suffice.
     """
-    own = ["n", "comp", "role", "pos", "differ", "long"]
+    own = ["n", "comp", "role", "pos", "differ"]
     one = lists.select("key", "weight", F.col("id").alias("a"), *own)
     two = lists.select("key", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in own])
     fits = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
@@ -264,7 +264,7 @@ def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     shared = F.ceil((F.col("differ") + F.col("differ2") - F.floor((100 - percent) * (F.col("n") + F.col("n2")) / (100 + percent))) / 2)
     early = (F.col("pos") <= F.col("differ") - shared) & (F.col("pos2") <= F.col("differ2") - shared)
     met = one.join(two.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits & roles & F.coalesce(early, F.lit(True)))
-    return met.groupBy("a", "b").agg(F.sum("weight").alias("k"), *[F.max(c).alias(c) for c in ("n", "n2", "long", "long2")])
+    return met.groupBy("a", "b").agg(F.sum("weight").alias("k"), *[F.max(c).alias(c) for c in ("n", "n2")])
 
 
 def _meetings(percent: int):
@@ -348,9 +348,13 @@ def heavy_links(lists: DataFrame, sets_of, edges: DataFrame, percent: int) -> Da
         rank = F.sum(F.col("weight") * F.col("length")) if turn == 0 else -F.min("differ")
         crowd = cut(long.groupBy("id").agg(F.sum("weight").alias("long"), rank.alias("rank")), "join-crowd", tasks)
         crowd = sized(crowd, MOST_BROADCAST)
-        pairs = list_pairs(lists.where(short).join(crowd.drop("rank"), "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), percent)
+        pairs = list_pairs(lists.where(short), percent)
         if turn == 0:
-            pairs = pairs.where(F.col("k") + F.least("long", "long2") >= _meetings(percent))
+            # Two sets may meet in long lists as well, in no more than either stands in.
+            for end in ("a", "b"):
+                pairs = pairs.join(crowd.select(F.col("id").alias(end), F.col("long").alias(f"long_{end}")), end, "left")
+            elsewhere = F.least(*[F.coalesce(f"long_{end}", F.lit(0)) for end in ("a", "b")])
+            pairs = pairs.where(F.col("k") + elsewhere >= _meetings(percent))
         pairs = pairs.select("a", "b", F.lit(False).alias("led")).unionByName(leaders(long, crowd, tasks).withColumn("led", F.lit(True)))
         pairs = cut(pairs.groupBy("a", "b").agg(F.max("led").alias("led")), "join-pairs", tasks)
         ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-ends", tasks)
