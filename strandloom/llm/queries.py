@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, html_extract, licenses, line_dedup, ngram_join, pii, secret_scan, toxicity
+from . import bpe, decontaminate, filter_audit, fingerprints, html_extract, licenses, line_dedup, ngram_join, pii, secret_scan, toxicity
 from ._common import table
 
 
@@ -61,5 +61,10 @@ def op10_pii(spark, sf_dir):
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii)}
-ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE}
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii, op11_filter_audit)}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
