@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, fingerprints, html_extract, licenses, line_dedup, ngram_join, pii, secret_scan, toxicity
+from . import bpe, decontaminate, filter_audit, fingerprints, html_extract, licenses, line_dedup, ngram_join, periodic_runs, pii, secret_scan, toxicity
 from ._common import table
 
 
@@ -66,5 +66,14 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii, op11_filter_audit)}
+def op12_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs.find_runs(docs).select("doc_id", F.col("periodic.runs").alias("runs"), F.col("periodic.collapsed").alias("collapsed"))
+    lines, best = F.concat(periodic_runs.spelt("runs"), F.when(F.size("runs") > 0, "\n").otherwise("")), periodic_runs.strongest(F.col("runs"))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    run = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    return out.select("doc_id", "n_runs", *run, F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii, op11_filter_audit, op12_periodic_runs)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
