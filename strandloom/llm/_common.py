@@ -25,13 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there and every executor can reread it.
 
     tasks: where df is known to be small, in so many tasks and files at most.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

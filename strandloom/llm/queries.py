@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, fingerprints, html_extract, licenses, line_dedup, ngram_join, periodic_runs, pii, secret_scan, toxicity
-from ._common import table
+from . import bpe, decontaminate, filter_audit, fingerprints, html_extract, licenses, line_dedup, ngram_join, periodic_runs, pii, secret_scan, token_files, toxicity
+from ._common import fresh, table
 
 
 def op1_ngram_join(spark, sf_dir):
@@ -75,5 +75,11 @@ def op12_periodic_runs(spark, sf_dir):
     return out.select("doc_id", "n_runs", *run, F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii, op11_filter_audit, op12_periodic_runs)}
+def op13_token_files(spark, sf_dir):
+    path, docs = fresh(spark, "token-files"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_bpe, op4_secret_scan, op5_html_extract, op6_decontaminate, op7_license_scan, op8_toxicity, op9_fingerprint, op10_pii, op11_filter_audit, op12_periodic_runs, op13_token_files)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_license_scan": licenses.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
