@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import canonical, decode_kmer
 from ..operators import kmers, lookup, packing, tables
-from ..sources.reads import TEXT_FROM, TEXT_TO, numbered_lines, read_fastq, read_queries, reads_from_text
+from ..sources.packed import read_packed, write_packed
+from ..sources.reads import TEXT_FROM, TEXT_TO, numbered_lines, read_queries, reads_from_text, scan_fastq
 from ..streaming import counts as streaming
 
 LOOKUP_K = 9
@@ -140,10 +141,21 @@ def kmer_flat(spark, sf_dir):
 
 def fastq_scan(spark, sf_dir):
     """Document lines written as FASTQ records and read back; how often each sequence stands there."""
+    return scan_fastq(spark, _as_fastq(spark, sf_dir)).groupBy("seq").agg(F.count("*").alias("n_reads"))
+
+
+def fastq_records(spark, sf_dir):
+    """The same records with their names, which say where each sequence came from, and the length of their qualities."""
+    name = F.split("name", ":")
+    rows = scan_fastq(spark, _as_fastq(spark, sf_dir), "name string, seq string, quality string")
+    return rows.select(name[0].cast("long").alias("doc_id"), name[1].cast("long").alias("line"), "seq", F.length("quality").cast("long").alias("n_quality"))
+
+
+def _as_fastq(spark, sf_dir) -> str:
     path = _fresh(spark, "fastq")
     record = F.concat_ws("\n", F.format_string("@%d:%d", "doc_id", "line"), "seq", F.lit("+"), F.repeat(F.lit("I"), F.length("seq")))
     _reads(spark, sf_dir).select(record.alias("value")).write.text(path)
-    return read_fastq(spark, path).groupBy("seq").agg(F.count("*").alias("n_reads"))
+    return path
 
 
 def kmer_lookup_file(spark, sf_dir):
@@ -164,6 +176,13 @@ def encoded_store(spark, sf_dir):
     return packing.unpack(packing.load(spark, path)).select("doc_id", "line", "seq")
 
 
+def encoded_files(spark, sf_dir):
+    """Reads in binary files of headers and words, read back; how often each stands there, with its header."""
+    path = _fresh(spark, "packed-files")
+    write_packed(_reads(spark, sf_dir).select("seq"), path)
+    return read_packed(spark, path, "header long, seq string").groupBy("header", "seq").agg(F.count("*").alias("n_reads"))
+
+
 def encoded_size(spark, sf_dir):
     return packing.packed_size(_reads(spark, sf_dir))
 
@@ -194,7 +213,7 @@ QUERIES = {
         "kmer_counts_k5", "kmer_counts_k9", "kmer_counts_k21", "kmer_counts_k31", "kmer_counts_native_k9", "kmer_counts_forward_k9", "kmer_counts_u16_k2",
         "kmer_encoded_k9", "kmer_partition_stats", "kmer_distinct_total", "kmer_merge",
         "kmer_lookup_exact", "kmer_lookup_canonical", "kmer_lookup_dup_last", "encoded_size", "stream_counts",
-        "kmer_partition_remainder", "kmer_lookup_stored", "kmer_appended", "kmer_merge_flat", "kmer_flat", "fastq_scan", "kmer_lookup_file", "encoded_store",
+        "kmer_partition_remainder", "kmer_lookup_stored", "kmer_appended", "kmer_merge_flat", "kmer_flat", "fastq_scan", "fastq_records", "kmer_lookup_file", "encoded_store", "encoded_files",
     )
 }
 
@@ -253,6 +272,8 @@ ORACLE_SQL = {
     "kmer_merge_flat": _count_sql(9),
     "kmer_flat": f"WITH {COUNTS9}, e AS (SELECT {ENC.format('kmer')} AS enc, cnt FROM k) SELECT ((enc >> 4) % 100)::INT AS part, 2 * count(*) AS n, min(enc) AS first_enc, arg_max(cnt, enc) AS last_cnt FROM e GROUP BY 1",
     "fastq_scan": f"WITH {READS} SELECT seq, count(*) AS n_reads FROM reads GROUP BY 1",
+    "fastq_records": f"WITH {READS} SELECT doc_id, line, seq, length(seq) AS n_quality FROM reads",
     "kmer_lookup_file": f"WITH x AS ({_lookup_sql('kmer', 'coalesce(cnt, 0)')}) SELECT row_number() OVER (ORDER BY qid) - 1 AS line, kmer, cnt FROM x",
+    "encoded_files": f"WITH {READS} SELECT 3221225472 + length(seq) AS header, seq, count(*) AS n_reads FROM reads GROUP BY 1, 2",
     "encoded_store": f"WITH {READS} SELECT doc_id, line, seq FROM reads",
 }
