@@ -14,7 +14,7 @@ A shard is written under a name of its own by each attempt of a task, and only t
 or ran twice leaves a file that nobody reads. A short document is read by its range of bytes alone: manifest, index, frame.
 
 The library's cache of words is small, so texts are cut at single blanks between printable ASCII characters or between words without white space at their
-ends, where its pattern always ends a piece; each different piece of a task is encoded once.
+ends, where its pattern always ends a piece, and what is not known yet where letters meet other characters; what was met before is not encoded again.
 
 Null and empty texts are the end id alone. Null doc_ids come first. Rows of one doc_id are in the order of a hash of their texts, then of the input; all stay,
 with their own place. Extra columns are not stored. No documents: a folder with a manifest and no shard, which reads as no rows.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import struct
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -52,24 +54,16 @@ LEVEL = 3
 SHARD_BYTES = 128 << 20
 #: The dictionary's sample: this many documents at most, each of this many characters at most, chosen by a hash of their rows.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
-#: Characters that one task encodes and sorts, and bytes of ids in a batch that is read.
-TASK_CHARACTERS, BATCH_BYTES = 64 << 20, 4 << 20
+#: Characters that one task encodes and sorts (some ten seconds), and bytes of ids in a batch that is read.
+TASK_CHARACTERS, BATCH_BYTES = 16 << 20, 4 << 20
 MOST_TOKENIZER_BYTES = 64 << 20
-#: Different pieces that a worker keeps, of some 200 bytes each.
-MOST_PIECES = 400_000
+#: Different pieces and segments that a worker keeps, of some 150 bytes each; segments of one batch come on top.
+MOST_PIECES, MOST_SEGMENTS = 300_000, 200_000
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 CUT = re.compile("(?<=[!-~])(?= [!-~])")
-
-
-class Known(dict):
-    """Pieces and their ids; the last batch's that found no room are beside it."""
-
-    def __init__(self) -> None:
-        self.others = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.others[piece]
+#: Where a piece's letters end or begin beside other printable ASCII characters or a new line; an apostrophe may go with the letters after it.
+SEGMENT = re.compile(r"(?<=[A-Za-z])(?=[\n!-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])|(?<=[!-~]\n)(?=[A-Za-z])")
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -80,33 +74,62 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class Pieces:
-    """The ids of texts as bytes, with a bounded memory of the pieces met before."""
+    """The ids of texts as bytes, with a bounded memory of the pieces met before and of the segments that they are made of."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.first, self.later = tokenizer, Known(), Known()
-
-    def _learn(self, known: Known, pieces: set[str], before: str) -> None:
-        new = list(pieces.difference(known))
-        if len(known) + len(new) > MOST_PIECES and 2 * len(new) > len(pieces):
-            known.clear()  # other texts than those that filled it
-            new = list(pieces)
-        found = self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)
-        learnt = {p: as_bytes(e.ids) for p, e in zip(new, found, strict=True)}
-        known.others = learnt
-        if len(known) + len(new) <= MOST_PIECES:
-            known.update(learnt)
+        self.tokenizer, self.first, self.later, self.segments = tokenizer, {}, {}, {}
+        # The names of added tokens are looked for before anything is cut, so they must stay whole.
+        names = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(names)).search if names else lambda _: None
+
+    def _encoded(self, segments: set[str]) -> None:
+        if len(self.segments) > MOST_SEGMENTS:
+            self.segments.clear()
+        new = list(segments.difference(self.segments))
+        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.segments[s] = as_bytes(e.ids)
+
+    def _of(self, known: dict[str, bytes], pieces: list[str], before: str) -> list[bytes]:
+        """The ids of different pieces, from memory or by their segments."""
+        found = list(map(known.get, pieces))
+        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        if new:
+            parts = [[before + p] if self.whole(p) else SEGMENT.split(before + p) for p in new]
+            self._encoded(set().union(*parts))
+            of = self.segments.__getitem__
+            learnt = [of(x[0]) if len(x) == 1 else b"".join(map(of, x)) for x in parts]
+            if len(known) + len(new) > MOST_PIECES and 2 * len(new) > len(pieces):
+                known.clear()  # other texts than those that filled it
+            known.update(itertools.islice(zip(new, learnt, strict=True), max(0, MOST_PIECES - len(known))))
+            rest = iter(learnt)
+            found = [next(rest) if ids is None else ids for ids in found]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # A word between two blanks is a piece with the blank before it, if it doesn't start or end with white space.
-        plain = [t.split(" ") for t in texts]
-        odd = {p for p in set().union(*plain) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            plain = [parts if odd.isdisjoint(parts) else None for parts in plain]
-        cut = [CUT.split(t) if parts is None else None for t, parts in zip(texts, plain, strict=True)]
-        self._learn(self.first, {parts[0] for parts in plain if parts is not None}.union(*(c for c in cut if c is not None)), "")
-        self._learn(self.later, set().union(*(parts[1:] for parts in plain if parts is not None)), " ")
-        first, later = self.first.__getitem__, self.later.__getitem__
-        return [b"".join(map(first, c)) if parts is None else first(parts[0]) + b"".join(map(later, parts[1:])) for parts, c in zip(plain, cut, strict=True)]
+        # A word after a blank is a piece with the blank before it, if it doesn't start or end with white space; other texts are cut with more care.
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        counts = words.value_lengths().to_numpy(zero_copy_only=False)
+        stops = np.cumsum(counts, dtype=np.int64)
+        once = words.flatten().dictionary_encode()
+        different, which = once.dictionary.to_pylist(), once.indices.to_numpy()
+        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in different), bool, len(different))[which]
+        plain = np.add.reduceat(odd, stops - counts) == 0 if len(texts) else np.zeros(0, bool)
+        later = np.repeat(plain, counts)
+        later[stops - counts] = False
+        asked = np.zeros(len(different), bool)
+        asked[which[later]] = True
+        place = np.cumsum(asked) - 1
+        ids = pa.array(self._of(self.later, [different[i] for i in np.flatnonzero(asked)], " "), pa.large_binary()).take(pa.array(place[which[later]]))
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset), memoryview(ids.buffers()[2] or b"")
+        upto = ends[np.append(0, np.cumsum(np.where(plain, counts - 1, 0)))].tolist()
+        heads = [different[i] for i in which[stops - counts]]
+        known = dict(zip(once := list({h for h, p in zip(heads, plain, strict=True) if p}), self._of(self.first, once, ""), strict=True))
+        return [known[heads[i]] + data[upto[i] : upto[i + 1]] if plain[i] else self._cut(t) for i, t in enumerate(texts)]
+
+    def _cut(self, text: str) -> bytes:
+        pieces = CUT.split(text)
+        once = list(dict.fromkeys(pieces))
+        return b"".join(map(dict(zip(once, self._of(self.first, once, ""), strict=True)).__getitem__, pieces))
 
 
 @functools.lru_cache(2)
