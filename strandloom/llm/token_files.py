@@ -14,7 +14,7 @@ A shard is written under a name of its own by each attempt of a task, and only t
 or ran twice leaves a file that nobody reads. A short document is read by its range of bytes alone: manifest, index, frame.
 
 The library's cache of words is small, so texts are cut at single blanks between printable ASCII characters or between words without white space at their
-ends, where its pattern always ends a piece, and what is not known yet where letters meet other characters; what was met before is not encoded again.
+ends, where its pattern always ends a piece, and words where their letters end; what was met before is not encoded again.
 
 Null and empty texts are the end id alone. Null doc_ids come first. Rows of one doc_id are in the order of a hash of their texts, then of the input; all stay,
 with their own place. Extra columns are not stored. No documents: a folder with a manifest and no shard, which reads as no rows.
@@ -57,13 +57,11 @@ SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 #: Characters that one task encodes and sorts (some ten seconds), and bytes of ids in a batch that is read.
 TASK_CHARACTERS, BATCH_BYTES = 16 << 20, 4 << 20
 MOST_TOKENIZER_BYTES = 64 << 20
-#: Different pieces and segments that a worker keeps, of some 150 bytes each; segments of one batch come on top.
-MOST_PIECES, MOST_SEGMENTS = 300_000, 200_000
+#: Different words, and as many of what else stands in texts, that a worker keeps, of some 150 bytes each.
+MOST_PIECES = 300_000
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 CUT = re.compile("(?<=[!-~])(?= [!-~])")
-#: Where a piece's letters end or begin beside other printable ASCII characters or a new line; an apostrophe may go with the letters after it.
-SEGMENT = re.compile(r"(?<=[A-Za-z])(?=[\n!-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])|(?<=[!-~]\n)(?=[A-Za-z])")
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -73,31 +71,37 @@ def as_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a large_string array and where each value ends, from where the first starts."""
+    ends = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8), ends
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Values of given places in data."""
+    ends = np.append(0, np.cumsum(sizes))
+    chosen = data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(chosen)])
+
+
 class Pieces:
-    """The ids of texts as bytes, with a bounded memory of the pieces met before and of the segments that they are made of."""
+    """The ids of texts as bytes, with a bounded memory of the words and of what follows them."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.first, self.later, self.segments = tokenizer, {}, {}, {}
+        self.tokenizer, self.words, self.others = tokenizer, {}, {}
         # The names of added tokens are looked for before anything is cut, so they must stay whole.
-        names = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(names)).search if names else lambda _: None
-
-    def _encoded(self, segments: set[str]) -> None:
-        if len(self.segments) > MOST_SEGMENTS:
-            self.segments.clear()
-        new = list(segments.difference(self.segments))
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.segments[s] = as_bytes(e.ids)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def _of(self, known: dict[str, bytes], pieces: list[str], before: str) -> list[bytes]:
-        """The ids of different pieces, from memory or by their segments."""
+        """The ids of different pieces, from memory or by the library."""
         found = list(map(known.get, pieces))
         new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
         if new:
-            parts = [[before + p] if self.whole(p) else SEGMENT.split(before + p) for p in new]
-            self._encoded(set().union(*parts))
-            of = self.segments.__getitem__
-            learnt = [of(x[0]) if len(x) == 1 else b"".join(map(of, x)) for x in parts]
+            learnt = [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([before + p for p in new] if before else new, add_special_tokens=False)]
             if len(known) + len(new) > MOST_PIECES and 2 * len(new) > len(pieces):
                 known.clear()  # other texts than those that filled it
             known.update(itertools.islice(zip(new, learnt, strict=True), max(0, MOST_PIECES - len(known))))
@@ -105,31 +109,63 @@ class Pieces:
             found = [next(rest) if ids is None else ids for ids in found]
         return found
 
+    def _halves(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        """Pieces in two: the letters that they start with if another printable ASCII character or a new line follows, and the rest; each as different values and a number for each piece."""
+        data, ends = _bytes_of(pieces)
+        starts, sizes = ends[:-1], np.diff(ends)
+        # The first byte that is no letter, from each place on.
+        stops = np.append(np.flatnonzero(~LETTER[data]), len(data))
+        letters = stops[np.searchsorted(stops, starts)] - starts
+        after = data[np.minimum(starts + letters, max(len(data) - 1, 0))] if len(data) else np.zeros(len(starts), np.uint8)
+        cut = (letters > 0) & (letters < sizes) & (after < 127) & ((after > ord(" ")) | (after == ord("\n")))
+        for name in self.added:
+            cut &= ~pc.match_substring(pieces, name).to_numpy(zero_copy_only=False)
+        size = np.where(cut, letters, sizes)
+        words, rest = (_strings(data, at, n).dictionary_encode() for at, n in ((starts, size), (starts + size, sizes - size)))
+        return words.dictionary, words.indices.to_numpy(), rest.dictionary, rest.indices.to_numpy()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         # A word after a blank is a piece with the blank before it, if it doesn't start or end with white space; other texts are cut with more care.
-        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        counts = words.value_lengths().to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        counts = split.value_lengths().to_numpy(zero_copy_only=False)
         stops = np.cumsum(counts, dtype=np.int64)
-        once = words.flatten().dictionary_encode()
-        different, which = once.dictionary.to_pylist(), once.indices.to_numpy()
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in different), bool, len(different))[which]
-        plain = np.add.reduceat(odd, stops - counts) == 0 if len(texts) else np.zeros(0, bool)
+        once = split.flatten().dictionary_encode()
+        different, which = once.dictionary, once.indices.to_numpy()
+        odd = self._odd(different)[which]
+        plain = np.add.reduceat(odd, stops - counts) == 0
         later = np.repeat(plain, counts)
         later[stops - counts] = False
         asked = np.zeros(len(different), bool)
         asked[which[later]] = True
-        place = np.cumsum(asked) - 1
-        ids = pa.array(self._of(self.later, [different[i] for i in np.flatnonzero(asked)], " "), pa.large_binary()).take(pa.array(place[which[later]]))
-        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset), memoryview(ids.buffers()[2] or b"")
+        words, word_of, rest, rest_of = self._halves(different.filter(pa.array(asked)))
+        known = pa.array(self._of(self.words, words.to_pylist(), " ") + self._of(self.others, rest.to_pylist(), ""), pa.large_binary())
+        # A word and its rest stand side by side, so that taking them in turn joins them.
+        at = (np.cumsum(asked) - 1)[which[later]]
+        ids = known.take(pa.array(np.stack([word_of[at], len(words) + rest_of[at]], axis=1).ravel()))
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[::2], memoryview(ids.buffers()[2] or b"")
         upto = ends[np.append(0, np.cumsum(np.where(plain, counts - 1, 0)))].tolist()
-        heads = [different[i] for i in which[stops - counts]]
-        known = dict(zip(once := list({h for h, p in zip(heads, plain, strict=True) if p}), self._of(self.first, once, ""), strict=True))
-        return [known[heads[i]] + data[upto[i] : upto[i + 1]] if plain[i] else self._cut(t) for i, t in enumerate(texts)]
+        heads = different.take(pa.array(which[stops - counts])).to_pylist()
+        firsts = list({h for h, p in zip(heads, plain, strict=True) if p})
+        head = dict(zip(firsts, self._of(self.others, firsts, ""), strict=True))
+        return [head[heads[i]] + data[upto[i] : upto[i + 1]] if plain[i] else self._cut(t) for i, t in enumerate(texts)]
+
+    def _odd(self, pieces: pa.Array) -> np.ndarray:
+        """Empty pieces, and those with white space at an end. Most have ASCII characters at both, which are looked at together."""
+        data, ends = _bytes_of(pieces)
+        starts, empty = ends[:-1], np.diff(ends) == 0
+        first, last = (data[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else np.zeros(len(empty), np.uint8) for at in (starts, ends[1:] - 1))
+        plain = (first > ord(" ")) & (first < 127) & (last > ord(" ")) & (last < 127) & ~empty
+        odd = ~plain
+        unsure = np.flatnonzero(odd)
+        odd[unsure] = [not p or p[0].isspace() or p[-1].isspace() for p in pieces.take(pa.array(unsure)).to_pylist()]
+        return odd
 
     def _cut(self, text: str) -> bytes:
         pieces = CUT.split(text)
         once = list(dict.fromkeys(pieces))
-        return b"".join(map(dict(zip(once, self._of(self.first, once, ""), strict=True)).__getitem__, pieces))
+        return b"".join(map(dict(zip(once, self._of(self.others, once, ""), strict=True)).__getitem__, pieces))
 
 
 @functools.lru_cache(2)

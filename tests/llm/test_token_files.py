@@ -39,12 +39,11 @@ def test_pieces_are_encoded_as_whole_texts(texts):
 
 def test_the_memory_of_pieces_is_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "MOST_PIECES", 50)
-    monkeypatch.setattr(token_files, "MOST_SEGMENTS", 60)
     rand, pieces = random.Random(1), token_files.Pieces(LIBRARY)
     for _ in range(30):
         texts = [" ".join(str(rand.randrange(10**rand.randint(1, 6))) for _ in range(40)) for _ in range(4)]
         assert [ids(b) for b in pieces.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
-        assert len(pieces.first) <= 50 and len(pieces.later) <= 50 and len(pieces.segments) <= 60 + 160
+        assert len(pieces.words) <= 50 and len(pieces.others) <= 50
 
 
 def test_files_give_back_every_document_in_order(spark):
