@@ -1,7 +1,7 @@
 """Token ids of documents in binary files: each document compressed by itself under a shared dictionary, with an index of offsets.
 
-encode() gives the ids of the tokenizers library. write() puts documents into ascending order of doc_id (a range partitioning), encodes
-them and writes them through the data source `token_files`; read() reads them back, all or by doc_id.
+encode() gives the ids of the tokenizers library. write() puts documents into ascending order of doc_id (a range partitioning); the writer of the data
+source `token_files` encodes them and writes them. read() reads them back, all or by doc_id.
 
 A folder holds
 - dictionary-<SHA-256>.zdict: the zstandard dictionary, trained on serialized ids of a bounded sample of short documents;
@@ -40,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -52,10 +52,10 @@ MAGIC = b"STOKENS1"
 FOOTER = struct.Struct("<32sQQI")
 LEVEL = 3
 SHARD_BYTES = 128 << 20
-#: The dictionary's sample: this many documents at most, each of this many characters at most, chosen by a hash of their rows.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
-#: Characters that one task encodes and sorts (some ten seconds), and bytes of ids in a batch that is read.
-TASK_CHARACTERS, BATCH_BYTES = 16 << 20, 4 << 20
+#: The dictionary's sample: this many documents at most, each of this many bytes of text at most, chosen by a hash of their ids.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8192, 64 << 10
+#: Bytes of text that one task sorts and encodes (some five seconds), and bytes of ids in a batch that is read.
+TASK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
 MOST_TOKENIZER_BYTES = 64 << 20
 #: Different words, and as many of what else stands in texts, that a worker keeps, of some 150 bytes each.
 MOST_PIECES = 300_000
@@ -124,11 +124,12 @@ class Pieces:
         words, rest = (_strings(data, at, n).dictionary_encode() for at, n in ((starts, size), (starts + size, sizes - size)))
         return words.dictionary, words.indices.to_numpy(), rest.dictionary, rest.indices.to_numpy()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not texts:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
             return []
         # A word after a blank is a piece with the blank before it, if it doesn't start or end with white space; other texts are cut with more care.
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        split = pc.split_pattern(texts, " ")
         counts = split.value_lengths().to_numpy(zero_copy_only=False)
         stops = np.cumsum(counts, dtype=np.int64)
         once = split.flatten().dictionary_encode()
@@ -149,7 +150,7 @@ class Pieces:
         heads = different.take(pa.array(which[stops - counts])).to_pylist()
         firsts = list({h for h, p in zip(heads, plain, strict=True) if p})
         head = dict(zip(firsts, self._of(self.others, firsts, ""), strict=True))
-        return [head[heads[i]] + data[upto[i] : upto[i + 1]] if plain[i] else self._cut(t) for i, t in enumerate(texts)]
+        return [head[heads[i]] + data[upto[i] : upto[i + 1]] if plain[i] else self._cut(texts[i].as_py()) for i in range(len(texts))]
 
     def _odd(self, pieces: pa.Array) -> np.ndarray:
         """Empty pieces, and those with white space at an end. Most have ASCII characters at both, which are looked at together."""
@@ -195,6 +196,11 @@ class _Load:
         return 0
 
 
+@dataclass
+class _Plain:
+    value: bytes
+
+
 def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", end_id: int | None = None, out: str = "ids") -> DataFrame:
     """docs with out, the ids of a text as little-endian unsigned 32-bit integers, and end_id after them.
 
@@ -202,28 +208,30 @@ def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", end_id: int |
     """
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {out} already")
-    system, inside = file_system(tokenizer)
-    with system.open_input_stream(inside) as f:
-        content = f.read()
-    if len(content) > MOST_TOKENIZER_BYTES:
-        raise ValueError(f"{tokenizer} has more than {MOST_TOKENIZER_BYTES} bytes")
-    _check_tokenizer(json.loads(content))
+    content = _tokenizer_of(tokenizer)
     load, digest = _Load(docs.sparkSession.sparkContext.broadcast(content)), hashlib.sha256(content).hexdigest()
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([e + end for e in _pieces(digest, load).encode([t.as_py() or "" for t in texts])], pa.binary())
+        return pa.array([e + end for e in _pieces(digest, load).encode(texts)], pa.binary())
 
     return docs.withColumn(out, ids(F.col(text)))
 
 
-def _check_tokenizer(spec: dict) -> None:
+def _tokenizer_of(path: str) -> bytes:
+    system, inside = file_system(path)
+    with system.open_input_stream(inside) as f:
+        content = f.read()
+    if len(content) > MOST_TOKENIZER_BYTES:
+        raise ValueError(f"{path} has more than {MOST_TOKENIZER_BYTES} bytes")
+    spec = json.loads(content)
     before = spec.get("pre_tokenizer") or {}
     good = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
     spaced = [t["content"] for t in spec.get("added_tokens", []) if " " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
     if not good or spaced:
         raise ValueError("texts can be cut at blanks only for byte-level BPE with its own pattern, no normalizer, and no added token with blanks")
+    return content
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -261,17 +269,22 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, names: set[str]) -> None:
         self.path, self.dictionary, self.shard_bytes = options["path"].rstrip("/"), options["dictionary"], int(options.get("shard_bytes", SHARD_BYTES))
+        # Read once, here, and sent to the tasks with the writer.
+        self.tokenizer = _tokenizer_of(options["tokenizer"]) if "ids" not in names else None
+        self.end = struct.pack("<I", int(options["end_id"])) if "end_id" in options else b""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         content = _dictionary_of(self.path, self.dictionary)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(content)).compress
         partition, shards, out = TaskContext.get().partitionId(), [], None
+        pieces = _pieces(hashlib.sha256(self.tokenizer).hexdigest(), _Load(_Plain(self.tokenizer))) if self.tokenizer else None
         for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
+            every = [e + self.end for e in pieces.encode(batch.column("text"))] if pieces else batch.column("ids").to_pylist()
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), every, strict=True):
                 out = out or _Open(self.path, self.dictionary, partition, len(shards))
-                out.add(doc_id.as_py(), ids.as_py(), squeeze)
+                out.add(doc_id, ids, squeeze)
                 if out.at >= self.shard_bytes:
                     shards.append(out.close())
                     out = None
@@ -407,7 +420,7 @@ def _documents(f: pa.NativeFile, shard: Shard, dictionary: str, wanted: list[int
 
 
 class TokenFiles(DataSource):
-    """The data source `token_files`. Options: path; dictionary and shard_bytes to write; doc_ids, parted by commas, to read some documents."""
+    """The data source `token_files`. Options: path; dictionary, shard_bytes and, for rows of text instead of ids, tokenizer and end_id to write; doc_ids, parted by commas, to read some documents."""
 
     @classmethod
     def name(cls) -> str:
@@ -420,12 +433,12 @@ class TokenFiles(DataSource):
         return Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options)
+        return Writer(self.options, {f.name for f in schema.fields})
 
 
 def sample_for_dictionary(docs: DataFrame, n: int) -> DataFrame:
     """SAMPLE_DOCUMENTS of n documents at most, short ones, by the order of a hash."""
-    short = docs.where(F.length("text") <= SAMPLE_CHARACTERS).withColumn("_h", F.xxhash64("doc_id", "text"))
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("_h", F.xxhash64("doc_id"))
     # The sort sees some twice as many rows as it keeps.
     share = min(1.0, 2 * SAMPLE_DOCUMENTS / max(n, 1))
     return short.where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("_h").limit(SAMPLE_DOCUMENTS).drop("_h")
@@ -437,21 +450,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None = No
     spark.dataSource.register(TokenFiles)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, characters = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    sample = encode(sample_for_dictionary(docs, n), tokenizer, end_id=end_id).select("ids")
-    content = train_dictionary([bytes(r.ids) for r in sample.toLocalIterator()])
+    sample, text_bytes = [], 0
+    if n := docs.count():
+        # The pass that takes the sample measures the texts, too.
+        size = Observation()
+        seen = docs.observe(size, F.sum(F.octet_length("text")).alias("bytes"))
+        sample = [bytes(r.ids) for r in encode(sample_for_dictionary(seen, n), tokenizer, end_id=end_id).select("ids").collect()]
+        text_bytes = size.get["bytes"] or 0
+    content = train_dictionary(sample)
     digest = hashlib.sha256(content).hexdigest()
     system, inside = file_system(path.rstrip("/"))
     system.create_dir(inside, recursive=True)
     with system.open_output_stream(f"{inside}/dictionary-{digest}.zdict") as f:
         f.write(content)
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-characters // TASK_CHARACTERS))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-text_bytes // TASK_BYTES))
     # Rows of one doc_id are told apart, so that many of them are no single task.
     keyed = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), "_tie", "_row"]
     ordered = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    out = encode(ordered, tokenizer, end_id=end_id).select("doc_id", "ids")
-    out.write.format("token_files").mode("append").options(dictionary=digest, shard_bytes=shard_bytes).save(path)
+    end = {} if end_id is None else {"end_id": end_id}
+    ordered.select("doc_id", "text").write.format("token_files").mode("append").options(dictionary=digest, tokenizer=tokenizer, shard_bytes=shard_bytes, **end).save(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
