@@ -90,14 +90,17 @@ def dedup_lines(docs: DataFrame, *, text="text", doc_id="doc_id", site="source",
         hits = lines.join(hot, key).unionByName(rest)
     gone = hits.where(F.struct("_id", "_pos") != F.col("_first")).select("_id", "_pos")
     own, drop = (unused(docs, x) for x in ("_id", "_drop"))
-    drops = cut(gone, "line-drops").groupBy(F.col("_id").alias(own)).agg(F.collect_set("_pos").alias(drop))
+    drops = cut(gone, "line-drops").groupBy(F.col("_id").alias(own)).agg(F.array_sort(F.collect_set("_pos")).alias(drop))
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    # The lines between one drop and the next are slices of the one array of lines, which an array of its own keeps from being split again.
+    after = F.concat(F.array(F.lit(1)), F.transform(drop, lambda i: i + 2))
+    until = F.concat(F.transform(drop, lambda i: i + 1), F.array(F.size(lines) + 1))
+    between = F.zip_with(after, until, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    slices = lambda every: F.flatten(F.transform(between, lambda x: F.slice(every, x["a"], x["n"])))
+    kept = F.transform(F.array(lines), lambda every: F.array_join(slices(every), "\n"))
     # The same plan at every size: texts are dealt out by id, whether or not the drops happen to be few.
     joined = docs.join(drops.hint("merge"), docs[doc_id] == drops[own], "left")
-    clean = F.when(F.col(drop).isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    )
+    clean = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.get(kept, F.lit(0)))
     n_removed = F.coalesce(F.size(drop), F.lit(0))
     if spare_emptied:
         emptied = F.col(drop).isNotNull() & (F.length(F.btrim(clean, F.lit(STRIPPED + "\n"))) == 0)
