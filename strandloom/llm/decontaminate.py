@@ -13,7 +13,8 @@ Items are dealt into blocks of some BLOCK shingles, each block against all docum
 bounded however large the benchmark grows; the items themselves stay a table.
 
 Words are runs of ASCII letters and digits, in lower case, and of characters beyond ASCII. Defined results: null and
-empty texts contain nothing and are contained nowhere; items or documents that repeat an id count as one by their union of pairs; an empty table gives an
+empty texts contain nothing and are contained nowhere; of items or documents that repeat an id each row is searched for itself, and the pair
+of rows that shares most stands for the ids; an empty table gives an
 empty one; extra columns are not used by find() and pass through drop_contaminated().
 """
 
@@ -107,12 +108,14 @@ def _search(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends(x), pa.array(np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64))) for x in (values, sets)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists, pa.array(probed, pa.bool_())], names=["doc_id", "values", "kept", "probed"])
 
-    left = cut(docs.mapInArrow(kept, "doc_id long, values array<long>, kept array<long>, probed boolean"), "leaks-kept")
+    # Pairs are told apart by rows until they are decided, as ids may repeat.
+    left = docs.mapInArrow(kept, "doc_id long, values array<long>, kept array<long>, probed boolean")
+    left = cut(left.withColumn("doc_row", F.monotonically_increasing_id()), "leaks-kept")
     most, largest, probed = left.agg(F.max(F.size("values")), F.max(F.size("kept")), F.max("probed")).first()
     ceiling = 1 << max(0, (largest or 1) - 1).bit_length()
 
     def signed(parts):
-        """(item_id, band, value): an item's MinHash values, and in band -1 its first shingles where documents look them up."""
+        """(item_row, band, value): an item's MinHash values, and in band -1 its first shingles where documents look them up."""
         for part in parts:
             for i, h in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 own = np.array(h.as_py(), np.int64).view(np.uint64)
@@ -123,13 +126,13 @@ def _search(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
                     values.append(first_shingles(own, share))
                     bands.append(np.full(len(values[1]), -1, np.int32))
                 bands, values = np.concatenate(bands), np.concatenate(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bands), i, np.int64)), pa.array(bands), pa.array(values.view(np.int64))], names=["item_id", "band", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bands), i, np.int64)), pa.array(bands), pa.array(values.view(np.int64))], names=["item_row", "band", "value"])
 
-    bands = items.select("item_id", "hashes").mapInArrow(signed, "item_id long, band int, value long")
-    asked = left.select("doc_id", F.posexplode("values").alias("band", "value")).unionByName(left.where("probed").select("doc_id", F.lit(-1).alias("band"), F.explode("kept").alias("value")))
-    proposed = asked.join(bands, ["band", "value"]).select("doc_id", "item_id").distinct()
-    both = proposed.join(left.select("doc_id", "kept"), "doc_id").join(items.select("item_id", "hashes"), "item_id")
-    counted = both.groupBy("doc_id", "item_id").agg(F.max(F.size("hashes")).cast("long").alias("n_item"), F.max(F.size(F.array_intersect("hashes", "kept"))).cast("long").alias("n_shared"))
+    bands = items.select("item_row", "hashes").mapInArrow(signed, "item_row long, band int, value long")
+    asked = left.select("doc_row", F.posexplode("values").alias("band", "value")).unionByName(left.where("probed").select("doc_row", F.lit(-1).alias("band"), F.explode("kept").alias("value")))
+    proposed = asked.join(bands, ["band", "value"]).select("doc_row", "item_row").distinct()
+    both = proposed.join(left.select("doc_row", "doc_id", "kept"), "doc_row").join(items.select("item_row", "item_id", "hashes"), "item_row")
+    counted = both.select("doc_id", "item_id", F.size("hashes").cast("long").alias("n_item"), F.size(F.array_intersect("hashes", "kept")).cast("long").alias("n_shared"))
     return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * share))
 
 
@@ -137,14 +140,16 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text="text", doc_id="doc_id",
     """(doc_id, item_id, n_item, n_shared, containment) of every document that contains a test item."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = _set_rows(benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))).where("size(hashes) > 0 and item_id is not null")
-    items = cut(items, "leaks-items")
+    items = cut(items.withColumn("item_row", F.monotonically_increasing_id()), "leaks-items")
     blocks = -(-(items.agg(F.sum(F.size("hashes"))).first()[0] or 0) // BLOCK)
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        block = items.where(F.pmod(F.xxhash64("item_row"), F.lit(blocks)) == k)
         if not block.isEmpty():
             out = out.unionByName(_search(docs, block, share))
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    # Of rows that repeat both ids, the pair that shares most stands for all.
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.n_item", "x.n_shared", "x.containment")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = SHARE) -> DataFrame:
