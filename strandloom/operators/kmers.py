@@ -2,8 +2,11 @@
 
 A window counts if it lies in one read and has bases only. Two strategies give the same rows. `native` is made of
 expressions: reads are cut into runs of bases, long runs into overlapping pieces, and each window is a row of
-text. `arrow` turns a batch of reads into integers with NumPy and counts within the batch, so that the shuffle gets
-one row for each k-mer and batch; it is the one to take for long reads and large k.
+text. `arrow` turns the bytes of a batch of reads into integers with NumPy, all reads at once, and counts within the task: small k in a table
+of all k-mers, larger k in sorted runs of (k-mer, count) which are merged by levels until a bound is reached. So the shuffle gets one row for
+each k-mer and task, or for each k-mer and bound of a task where k-mers hardly repeat. It is the one to take for long reads and large k.
+
+counts_of() takes a list of k-mers and counts these alone: windows are compared with the sorted list in the task, and only hits are counted and shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +21,12 @@ from ..functions.codec import check_k, decode_kmer, encode_kmer
 
 #: Windows that one expression makes at once.
 PIECE = 16_384
-#: Bases that the kernel takes at once; its memory is some 50 bytes for each.
-CHUNK = 1 << 20
+#: Bases that the kernel takes at once; its memory is some 60 bytes for each.
+CHUNK = 1 << 17
+#: Tables of all k-mers are held up to this size; beyond it, so many windows make a sorted run, and so many k-mers of runs are held at most.
+DENSE, RUN, HELD = 1 << 22, 1 << 20, 1 << 22
+#: Lists of k-mers that tasks hold, of eight bytes each.
+MOST_ASKED = 1_000_000
 
 CODES = np.full(256, 4, np.uint8)
 CODES[[ord(c) for c in "ACGT"]] = range(4)
@@ -36,21 +43,28 @@ def windows(reads: DataFrame, k: int, *, seq: str = "seq") -> DataFrame:
     return pieces.select(*rest, F.explode(each).alias("kmer"))
 
 
-def _kernel(codes: np.ndarray, k: int, canonical: bool) -> np.ndarray:
-    """Encoded k-mers of all windows without a code of 4, by doubling the width of what is already joined."""
+def _kernel(codes: np.ndarray, k: int, canonical: bool, cut: np.ndarray | None = None) -> np.ndarray:
+    """Encoded k-mers of all windows without a code of 4, by doubling the width of what is already joined. No window goes over one of the places in cut."""
     n = len(codes) - k + 1
     if n < 1:
         return np.zeros(0, np.int64)
     bad = np.concatenate([[0], np.cumsum(codes > 3)])
     good = bad[k:] == bad[:-k]
+    if cut is not None and len(cut):
+        over = np.zeros(n + 1, np.int64)
+        np.add.at(over, np.clip(cut - k + 1, 0, n), 1)
+        np.add.at(over, np.minimum(cut, n), -1)
+        good &= np.cumsum(over)[:n] == 0
     # One base is joined to 2, 4, 8, ... and k is put together from these by its binary digits.
-    f, b, width = codes.astype(np.int64) & 3, 3 - (codes.astype(np.int64) & 3), 1
+    f, width = codes.astype(np.int64) & 3, 1
+    b = 3 - f
     forward, backward, done = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), 0
     while True:
         if k & width:
             m = len(codes) - done - width + 1
             forward = forward[:m] << 2 * width | f[done : done + m]
-            backward = b[done : done + m] << 2 * done | backward[:m]
+            if canonical:
+                backward = b[done : done + m] << 2 * done | backward[:m]
             done += width
         if done == k:
             break
@@ -59,41 +73,128 @@ def _kernel(codes: np.ndarray, k: int, canonical: bool) -> np.ndarray:
     return (np.minimum(forward, backward) if canonical else forward)[good]
 
 
-def _of_bounded_size(column):
-    """Lists of reads that are joined at once: no more than CHUNK bases, or one longer read."""
-    texts, size = [], 0
-    for t in column:
-        t = t.as_py()
-        if t:
-            if size + len(t) > CHUNK and texts:
-                yield texts
-                texts, size = [], 0
-            texts.append(t)
-            size += len(t)
-    if texts:
-        yield texts
+def _windows_of(column: pa.Array, k: int, canonical: bool):
+    """Encoded k-mers of a batch of reads, some CHUNK at a time."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for a in range(int(ends[0]), int(ends[-1]), CHUNK):
+        b = min(a + CHUNK + k - 1, int(ends[-1]))
+        within = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b)]
+        yield _kernel(CODES[data[a:b]], k, canonical, within - a)
+
+
+class Runs:
+    """Counts of a task's k-mers. add() and end() give the arrays (keys, counts) that are to leave the task."""
+
+    def __init__(self, k: int) -> None:
+        self.size = 4**k if 4**k <= DENSE else 0
+        self.table = np.zeros(self.size, np.int64)
+        self.waiting, self.n_waiting, self.levels, self.repeats = [], 0, [], True
+
+    def add(self, found: np.ndarray):
+        self.waiting.append(found)
+        self.n_waiting += len(found)
+        if self.n_waiting >= (max(self.size, CHUNK) if self.size else RUN):
+            yield from self._settle()
+
+    def _settle(self):
+        keys, self.waiting, self.n_waiting = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.int64), [], 0
+        if self.size:
+            self.table += np.bincount(keys, minlength=self.size)
+            return
+        run = np.unique(keys, return_counts=True)
+        if not self.repeats:
+            yield run
+            return
+        self.levels.append(run)
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._merged(a, b))
+        if (held := sum(len(keys) for keys, _ in self.levels)) > HELD:
+            # Where k-mers hardly repeat within so many, merging runs saves nothing: the task goes on without.
+            self.repeats = held < 0.9 * sum(int(n.sum()) for _, n in self.levels)
+            yield from self.levels
+            self.levels = []
+
+    @staticmethod
+    def _merged(a, b):
+        keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")  # two sorted runs are merged in one go
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def end(self):
+        yield from self._settle()
+        if self.size:
+            keys = np.flatnonzero(self.table)
+            yield keys, self.table[keys]
+        while len(self.levels) > 1:
+            self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
+        yield from self.levels
+
+
+class Asked:
+    """Counts of the k-mers of a sorted list alone."""
+
+    def __init__(self, asked: np.ndarray) -> None:
+        self.asked, self.n = asked, np.zeros(len(asked), np.int64)
+
+    def add(self, found: np.ndarray):
+        if len(self.asked):
+            at = np.minimum(np.searchsorted(self.asked, found), len(self.asked) - 1)
+            self.n += np.bincount(at[self.asked[at] == found], minlength=len(self.asked))
+        return ()
+
+    def end(self):
+        hit = np.flatnonzero(self.n)
+        yield self.asked[hit], self.n[hit]
+
+
+def _counted(reads: DataFrame, k: int, canonical: bool, seq: str, totals) -> DataFrame:
+    def batches(parts):
+        runs = totals()
 
+        def rows(arrays):
+            for keys, n in arrays:
+                for a in range(0, len(keys), 1 << 16):
+                    both = [pa.array(x[a : a + (1 << 16)].astype(np.int64)) for x in (keys, n)]
+                    yield pa.RecordBatch.from_arrays(both, names=["enc", "cnt"])
 
-def _counted(reads: DataFrame, k: int, canonical: bool, seq: str) -> DataFrame:
-    def batches(parts):
         for part in parts:
-            for texts in _of_bounded_size(part.column(0)):
-                data = CODES[np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)]
-                for a in range(0, len(data), CHUNK):
-                    found = _kernel(data[a : a + CHUNK + k - 1], k, canonical)
-                    keys, n = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["enc", "cnt"])
+            for found in _windows_of(part.column(0), k, canonical):
+                yield from rows(runs.add(found))
+        yield from rows(runs.end())
 
     return reads.select(seq).mapInArrow(batches, "enc long, cnt long").groupBy("enc").agg(F.sum("cnt").alias("cnt"))
 
 
+def counts_of(reads: DataFrame, asked: DataFrame, k: int, *, canonical: bool = True, seq: str = "seq") -> DataFrame:
+    """(kmer, enc, cnt) of those k-mers of asked (kmer) that reads have. canonical: the reads' k-mers are; asked is taken as it is.
+
+    Beyond MOST_ASKED different k-mers, all of reads are counted and joined with asked.
+    """
+    check_k(k)
+    keys = asked.select(encode_kmer(F.col("kmer")).alias("enc")).distinct()
+    known = [r[0] for r in keys.limit(MOST_ASKED + 1).collect()]
+    if len(known) > MOST_ASKED:
+        return count(reads, k, canonical=canonical, seq=seq, enc=True).join(keys, "enc", "left_semi").select("kmer", "enc", "cnt")
+    values = reads.sparkSession.sparkContext.broadcast(np.sort(np.array(known, np.int64)))
+    return _counted(reads, k, canonical, seq, lambda: Asked(values.value)).select(decode_kmer(F.col("enc"), k).alias("kmer"), "enc", "cnt")
+
+
 def count(reads: DataFrame, k: int, *, canonical: bool = True, strategy: str = "arrow", count_mode: str = "long", seq: str = "seq", enc: bool = False) -> DataFrame:
     """(kmer, cnt), and with enc the k-mer as an integer. count_mode 'u16' gives counts modulo 65,536."""
     check_k(k)
     if count_mode not in ("long", "u16"):
         raise ValueError(f"count_mode is 'long' or 'u16', not {count_mode!r}")
     if strategy == "arrow":
-        out = _counted(reads, k, canonical, seq).select(decode_kmer(F.col("enc"), k).alias("kmer"), "cnt", *["enc"] * enc)
+        out = _counted(reads, k, canonical, seq, lambda: Runs(k)).select(decode_kmer(F.col("enc"), k).alias("kmer"), "cnt", *["enc"] * enc)
     elif strategy == "native":
         kmer = canonical_of(F.col("kmer")) if canonical else F.col("kmer")
         out = windows(reads.select(seq), k, seq=seq).groupBy(kmer.alias("kmer")).agg(F.count("*").alias("cnt"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import canonical, decode_kmer
 from ..operators import kmers, lookup, packing, tables
+from ..sources.files import fresh, shared_dir
 from ..sources.packed import read_packed, write_packed
 from ..sources.reads import TEXT_FROM, TEXT_TO, numbered_lines, read_queries, reads_from_text, scan_fastq
 from ..streaming import counts as streaming
@@ -99,7 +100,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 def _lookup(**options):
     def query(spark, sf_dir):
-        return lookup.lookup(kmers.count(_reads(spark, sf_dir), LOOKUP_K), _asked(spark, sf_dir), **options)
+        return lookup.count_and_lookup(_reads(spark, sf_dir).select("seq"), _asked(spark, sf_dir), LOOKUP_K, **options)
 
     return query
 
@@ -109,23 +110,39 @@ kmer_lookup_canonical = _lookup(mode="canonical")
 kmer_lookup_dup_last = _lookup(dup="last")
 
 
+def _stored(spark, sf_dir, k: int = LOOKUP_K, where: str = "TRUE") -> str:
+    path = fresh(spark, "kmer-table")
+    tables.save(kmers.count(_reads(spark, sf_dir).where(where), k, enc=True), k, path)
+    return path
+
+
 def kmer_lookup_stored(spark, sf_dir):
-    """The canonical lookup in a stored table of which only the parts that the queries need are read."""
-    path = _fresh(spark, "kmer-table")
-    tables.save(kmers.count(_reads(spark, sf_dir), LOOKUP_K, enc=True), LOOKUP_K, path, n_rows=4 ** LOOKUP_K)
-    asked = _asked(spark, sf_dir)
-    parts = lookup.parts_of(asked.select(canonical(F.col("kmer")).alias("kmer")), LOOKUP_K)
-    return lookup.lookup(tables.load(spark, path, LOOKUP_K, parts), asked, mode="canonical")
+    """The canonical lookup in a stored table of which only the parts and pages that the queries need are read."""
+    return lookup.lookup_stored(spark, _stored(spark, sf_dir), _asked(spark, sf_dir), LOOKUP_K, mode="canonical")
 
 
 def kmer_appended(spark, sf_dir):
     """A stored table of the documents with even ids, to which the others' counts are appended."""
-    path, reads = _fresh(spark, "kmer-table"), _reads(spark, sf_dir)
-    for r, mode in ((0, "overwrite"), (1, "append")):
-        tables.save(kmers.count(reads.where(F.col("doc_id") % 2 == r), 9, enc=True), 9, path, mode=mode, n_rows=4**9)
+    path = _stored(spark, sf_dir, 9, "doc_id % 2 = 0")
+    tables.save(kmers.count(_reads(spark, sf_dir).where("doc_id % 2 = 1"), 9, enc=True), 9, path, mode="append")
     return tables.added_up(tables.load(spark, path, 9)).select("kmer", "enc", "cnt", F.col("part").cast("int").alias("part"))
 
 
+def kmer_upsert(spark, sf_dir):
+    """The same, the others' counts merged into the stored table in place, one row for each k-mer."""
+    path = _stored(spark, sf_dir, 9, "doc_id % 2 = 0")
+    tables.upsert(kmers.count(_reads(spark, sf_dir).where("doc_id % 2 = 1"), 9, enc=True), 9, path)
+    return tables.load(spark, path, 9).select("kmer", "enc", "cnt", "part")
+
+
+def kmer_compacted(spark, sf_dir):
+    """The same, appended and then put together: one version of each part."""
+    path = _stored(spark, sf_dir, 9, "doc_id % 2 = 0")
+    tables.save(kmers.count(_reads(spark, sf_dir).where("doc_id % 2 = 1"), 9, enc=True), 9, path, mode="append")
+    tables.compact(spark, path, 9)
+    return tables.load(spark, path, 9).select("kmer", "enc", "cnt", "part")
+
+
 def kmer_merge_flat(spark, sf_dir):
     """Counts of documents with even ids, merged with those of the others as flat arrays."""
     reads = _reads(spark, sf_dir)
@@ -134,9 +151,18 @@ def kmer_merge_flat(spark, sf_dir):
 
 
 def kmer_flat(spark, sf_dir):
-    """The count table as one array for each part, its size and its first and last number."""
+    """The count table as flat arrays: for each part their numbers, the first and the last."""
     arrays = tables.flat(tables.partitioned(kmers.count(_reads(spark, sf_dir), 9, enc=True), 9))
-    return arrays.select("part", F.size("pairs").cast("long").alias("n"), F.get("pairs", F.lit(0)).alias("first_enc"), F.element_at("pairs", -1).alias("last_cnt"))
+    first, last = F.min_by(F.get("pairs", F.lit(0)), "chunk"), F.max_by(F.element_at("pairs", -1), "chunk")
+    return arrays.groupBy("part").agg(F.sum(F.size("pairs")).alias("n"), first.alias("first_enc"), last.alias("last_cnt"))
+
+
+def kmer_flat_chunks(spark, sf_dir):
+    """The count table as flat arrays of 500 pairs at most: each one's place, size, first and last key and sum of counts."""
+    arrays = tables.flat(tables.partitioned(kmers.count(_reads(spark, sf_dir), 9, enc=True), 9), 500)
+    n = F.size("pairs")
+    counts = F.aggregate(F.filter("pairs", lambda x, i: i % 2 == 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    return arrays.select("part", "chunk", "offset", n.cast("long").alias("n"), F.get("pairs", F.lit(0)).alias("first_enc"), F.element_at("pairs", -2).alias("last_enc"), counts.alias("total"))
 
 
 def fastq_scan(spark, sf_dir):
@@ -152,7 +178,7 @@ def fastq_records(spark, sf_dir):
 
 
 def _as_fastq(spark, sf_dir) -> str:
-    path = _fresh(spark, "fastq")
+    path = fresh(spark, "fastq")
     record = F.concat_ws("\n", F.format_string("@%d:%d", "doc_id", "line"), "seq", F.lit("+"), F.repeat(F.lit("I"), F.length("seq")))
     _reads(spark, sf_dir).select(record.alias("value")).write.text(path)
     return path
@@ -160,7 +186,7 @@ def _as_fastq(spark, sf_dir) -> str:
 
 def kmer_lookup_file(spark, sf_dir):
     """A query list from a text file, looked up, and the result file read back: its lines in query order."""
-    asked, listed, found = _asked(spark, sf_dir), _fresh(spark, "kmer-queries"), _fresh(spark, "kmer-result")
+    asked, listed, found = _asked(spark, sf_dir), fresh(spark, "kmer-queries"), fresh(spark, "kmer-result")
     # A list of queries is one file, as its lines are numbered.
     asked.orderBy("qid").select("kmer").coalesce(1).write.text(listed)
     queries = read_queries(spark, listed, LOOKUP_K, asked.count())
@@ -171,14 +197,14 @@ def kmer_lookup_file(spark, sf_dir):
 
 def encoded_store(spark, sf_dir):
     """Packed reads stored, read with their headers checked, and unpacked."""
-    path = _fresh(spark, "packed-reads")
+    path = fresh(spark, "packed-reads")
     packing.save(packing.pack(_reads(spark, sf_dir)), path)
     return packing.unpack(packing.load(spark, path)).select("doc_id", "line", "seq")
 
 
 def encoded_files(spark, sf_dir):
     """Reads in binary files of headers and words, read back; how often each stands there, with its header."""
-    path = _fresh(spark, "packed-files")
+    path = fresh(spark, "packed-files")
     write_packed(_reads(spark, sf_dir).select("seq"), path)
     return read_packed(spark, path, "header long, seq string").groupBy("header", "seq").agg(F.count("*").alias("n_reads"))
 
@@ -191,19 +217,15 @@ def stream_counts(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     # A pattern, as a stream reads folders or patterns, and the table may be one file.
     docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    return streaming.run_available(streaming.stream_counts(reads_from_text(docs), 5), _shared(spark))
-
-
-def _shared(spark: SparkSession) -> str:
-    import tempfile
+    return streaming.run_available(streaming.stream_counts(reads_from_text(docs), 5), shared_dir(spark))
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
 
-
-def _fresh(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stream_table(spark, sf_dir):
+    """Counts of document lines that arrive as FASTQ files, streamed into a stored table."""
+    path, progress = fresh(spark, "kmer-table"), fresh(spark, "stream")
+    reads = streaming.stream_fastq(spark, _as_fastq(spark, sf_dir), f"{progress}/log")
+    streaming.stream_into_table(reads, 9, path, f"{progress}/progress")
+    return tables.added_up(tables.load(spark, path, 9)).select("kmer", "cnt")
 
 
 QUERIES = {
@@ -213,7 +235,7 @@ QUERIES = {
         "kmer_counts_k5", "kmer_counts_k9", "kmer_counts_k21", "kmer_counts_k31", "kmer_counts_native_k9", "kmer_counts_forward_k9", "kmer_counts_u16_k2",
         "kmer_encoded_k9", "kmer_partition_stats", "kmer_distinct_total", "kmer_merge",
         "kmer_lookup_exact", "kmer_lookup_canonical", "kmer_lookup_dup_last", "encoded_size", "stream_counts",
-        "kmer_partition_remainder", "kmer_lookup_stored", "kmer_appended", "kmer_merge_flat", "kmer_flat", "fastq_scan", "fastq_records", "kmer_lookup_file", "encoded_store", "encoded_files",
+        "kmer_partition_remainder", "kmer_lookup_stored", "kmer_appended", "kmer_merge_flat", "kmer_flat", "kmer_flat_chunks", "kmer_upsert", "kmer_compacted", "stream_table", "fastq_scan", "fastq_records", "kmer_lookup_file", "encoded_store", "encoded_files",
     )
 }
 
@@ -236,6 +258,8 @@ BLOCKS = """p AS (SELECT doc_id, line, 3221225472 + length(seq) AS header, unnes
 b AS (SELECT doc_id, line, header, block_i, list_reduce(list_transform(string_split(rpad(translate(substr(seq, block_i * 10 + 1, 10), 'ACGTN', '01234'), 10, '0'), ''), lambda x: x::BIGINT), lambda x, y: x * 8 + y) AS block FROM p)"""
 COUNTS9 = f"{READS}, {_windows(9)}, k AS (SELECT c AS kmer, count(*) AS cnt FROM v GROUP BY 1)"
 
+APPENDED = f"WITH {COUNTS9}, e AS (SELECT kmer, {ENC.format('kmer')} AS enc, cnt FROM k) SELECT kmer, enc, cnt, ((enc >> 4) % 100)::INT AS part FROM e"
+
 
 def _lookup_sql(key: str, value: str) -> str:
     return f"""WITH {COUNTS9},
@@ -268,8 +292,14 @@ ORACLE_SQL = {
     "stream_counts": _count_sql(5),
     "kmer_partition_remainder": f"WITH {COUNTS9} SELECT ({ENC.format('kmer')}) % 100 AS part, count(*) AS distinct_kmers, sum(cnt)::BIGINT AS total FROM k GROUP BY 1",
     "kmer_lookup_stored": _lookup_sql("least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))", "coalesce(cnt, 0)"),
-    "kmer_appended": f"WITH {COUNTS9}, e AS (SELECT kmer, {ENC.format('kmer')} AS enc, cnt FROM k) SELECT kmer, enc, cnt, ((enc >> 4) % 100)::INT AS part FROM e",
+    "kmer_appended": APPENDED,
+    "kmer_upsert": APPENDED,
+    "kmer_compacted": APPENDED,
+    "stream_table": _count_sql(9),
     "kmer_merge_flat": _count_sql(9),
+    "kmer_flat_chunks": f"""WITH {COUNTS9}, e AS (SELECT {ENC.format('kmer')} AS enc, cnt FROM k),
+p AS (SELECT ((enc >> 4) % 100)::INT AS part, enc, cnt, row_number() OVER (PARTITION BY (enc >> 4) % 100 ORDER BY enc) - 1 AS i FROM e)
+SELECT part, i // 500 AS chunk, i // 500 * 500 AS "offset", 2 * count(*) AS n, min(enc) AS first_enc, max(enc) AS last_enc, sum(cnt)::BIGINT AS total FROM p GROUP BY 1, 2, 3""",
     "kmer_flat": f"WITH {COUNTS9}, e AS (SELECT {ENC.format('kmer')} AS enc, cnt FROM k) SELECT ((enc >> 4) % 100)::INT AS part, 2 * count(*) AS n, min(enc) AS first_enc, arg_max(cnt, enc) AS last_cnt FROM e GROUP BY 1",
     "fastq_scan": f"WITH {READS} SELECT seq, count(*) AS n_reads FROM reads GROUP BY 1",
     "fastq_records": f"WITH {READS} SELECT doc_id, line, seq, length(seq) AS n_quality FROM reads",

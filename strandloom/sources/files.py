@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the local file system is called in an address.
 LOCAL = "file:"
@@ -30,3 +34,27 @@ def listed(path: str) -> list[tuple[str, int, int]]:
     files = [f for f in found if f.type == fs.FileType.File and (f is info or not hidden(f))]
     prefix = path[: len(path) - len(inside)] if path.endswith(inside) else ""
     return sorted((prefix + f.path, f.size, int(f.mtime_ns or 0)) for f in files)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this session's own only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if kept.isDefined():
+            return kept.get()
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and its rows and their order in files stay the same."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -146,7 +146,7 @@ def test_tables(spark, tmp_path):
     stats = tables.partition_stats(counts, 5).agg(F.sum("total"), F.sum("distinct_kmers")).first()
     assert tuple(stats) == (sum(c for _, c in want), len(want)) == tuple(tables.totals(counts).first())[1::-1]
     assert {tuple(r) for r in tables.merge_flat(counts, tables.flat(stored), 5).collect()} == {(k, 2 * c) for k, c in want}
-    tables.save(counts, 5, path, mode="append", n_rows=len(want))
+    tables.save(counts, 5, path, mode="append")
     assert {(r.kmer, r.cnt) for r in tables.added_up(tables.load(spark, path, 5)).collect()} == {(k, 2 * c) for k, c in want}
     by_rest = {(r.part, r.enc % 100) for r in tables.partitioned(counts, 5, by="remainder").collect()}
     assert all(a == b for a, b in by_rest)
