@@ -93,6 +93,14 @@ def test_codes(spark):
     assert [p[0] for p in parts] == [0, 0, 3]
 
 
+def test_both_ways_to_spell_a_kmer(spark):
+    rnd = random.Random(8)
+    for k in (1, 2, 10, 21, 31):
+        encs = [(0,), (4**k - 1,), (None,)] + [(rnd.randrange(4**k),) for _ in range(50)]
+        both = spark.createDataFrame(encs, "enc long").select(kmers.spelt(F.col("enc"), k).alias("a"), codec.decode_kmer(F.col("enc"), k).alias("b")).collect()
+        assert all(r.a == r.b for r in both) and sum(r.a is None for r in both) == 1
+
+
 def test_packing(spark):
     seqs = ["ACGTN", "ACGTACGTAC", "ACGTACGTACG", "", "acgt\rACGT", None]
     packed = packing.pack(frame(spark, seqs).withColumn("id", F.monotonically_increasing_id()))
