@@ -7,7 +7,8 @@ died. Pieces of up to SHORT bytes are merged many at a time, one tree in each ro
 in n log n steps, so a piece of a megabyte is no special case.
 
 Defined results: a null text counts as empty; empty texts have no ids; special tokens are ordinary text; repeated
-rows each get their row; an empty table gives an empty one; extra columns pass through encode() and decode().
+rows each get their row; an empty table gives an empty one; extra columns pass through encode(), but
+one of a name that it is given for its own columns, ids by default, is replaced.
 """
 
 from __future__ import annotations

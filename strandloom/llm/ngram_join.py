@@ -14,7 +14,9 @@ ones must. Long lists hold either large groups of near copies or a passage that
 compared with one leader only. Two sets of the list that link, and are not both linked with the leader, differ from it in
 partly the same hashes. So each set's difference from the leader, rare hashes first, is listed in turn, and the next
 round scans these inverted lists. Copies with edits of their own and texts that only share a passage meet no more there.
-No list is turned into all its pairs, and no link depends on chance.
+No link depends on chance. After MOST_ROUNDS, or once a round has joined no components, the lists that are left give all
+their pairs, which are verified: texts that are put together from few shared passages, none of them linked, then cost the
+square of a list.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; rows that
 repeat a doc_id are one vertex; rows with a null doc_id keep their n_shingles and link with nothing; equal texts are

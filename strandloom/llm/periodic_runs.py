@@ -15,7 +15,7 @@ This loses nothing, as a run lies within one stretch with all its words, and the
 A document is one row of a task; memory is some hundred bytes for each word of the longest stretch. Nothing is shuffled.
 
 Null and empty texts, and those of white space, have no runs and collapse to the empty text. Each row is answered for itself, so
-null or repeated doc_ids and repeated rows change nothing. Other columns pass through; the result's name is the caller's choice and must be unused.
+null or repeated doc_ids and repeated rows change nothing. Other columns pass through; one that has the result's name, which is the caller's choice, is replaced.
 """
 
 from __future__ import annotations
@@ -234,8 +234,6 @@ def find_runs(docs: DataFrame, *, text: str = "text", out: str = "periodic", sho
     """docs with out: runs, an array of (start, length, period) by start, then period, in words from 0; and collapsed, the text without repeats."""
     if shortest < 5 or times < 3:
         raise ValueError(f"a run has at least 5 words and 3 periods, not {shortest} and {times}")
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"there is a column {out} already")
     run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     @F.arrow_udf(RESULT)

@@ -17,7 +17,7 @@ The library's cache of words is small, so texts are cut at single blanks between
 ends, where its pattern always ends a piece, and words where their letters end; what was met before is not encoded again.
 
 Null and empty texts are the end id alone. Null doc_ids come first. Rows of one doc_id are in the order of a hash of their texts, then of the input; all stay,
-with their own place. Extra columns are not stored. No documents: a folder with a manifest and no shard, which reads as no rows.
+with their own place. Extra columns are not stored, whatever their names. No documents: a folder with a manifest and no shard, which reads as no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..sources.files import file_system
-from ._common import small_batches, unused
+from ._common import small_batches
 
 MAGIC = b"STOKENS1"
 #: SHA-256 of the dictionary, start of the index, documents, CRC-32 of the index.
@@ -202,12 +202,10 @@ class _Plain:
 
 
 def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", end_id: int | None = None, out: str = "ids") -> DataFrame:
-    """docs with out, the ids of a text as little-endian unsigned 32-bit integers, and end_id after them.
+    """docs with out, the ids of a text as little-endian unsigned 32-bit integers, and end_id after them. A column of that name is replaced.
 
     tokenizer is a file of the tokenizers library with byte-level BPE whose pattern is that of the 50,257-word vocabulary.
     """
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"there is a column {out} already")
     content = _tokenizer_of(tokenizer)
     load, digest = _Load(docs.sparkSession.sparkContext.broadcast(content)), hashlib.sha256(content).hexdigest()
     end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -480,8 +478,7 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
 
 
 def decode(docs: DataFrame, tokenizer: str, *, ids: str = "ids", end_id: int | None = None, out: str = "text") -> DataFrame:
-    """docs with out, the text of its ids; an end_id at their end is no part of it."""
-    out = unused(docs, out) if out in docs.columns else out
+    """docs with out, the text of its ids; an end_id at their end is no part of it. A column of that name is replaced."""
     system, inside = file_system(tokenizer)
     with system.open_input_stream(inside) as f:
         content = f.read()

@@ -105,12 +105,14 @@ def test_query_against_brute_force(spark, monkeypatch):
     assert sum(r[1] > 0 for r in got) > 20 and rows(spark, [], monkeypatch) == []
 
 
-def test_other_columns_stay_and_names_must_not_clash(spark):
+def test_other_columns_stay_and_one_of_the_same_name_is_replaced(spark):
     docs = spark.createDataFrame([("k", "a a a a a a b", 7)], "runs string, text string, start int")
     got = periodic_runs.find_runs(docs).collect()[0]
     assert (got["runs"], got["start"], got["periodic"]["collapsed"], [tuple(r) for r in got["periodic"]["runs"]]) == ("k", 7, "a b", [(0, 6, 1)])
+    got = periodic_runs.find_runs(docs, out="Start")
+    assert [c.lower() for c in got.columns] == ["runs", "text", "start"] and got.collect()[0][2]["collapsed"] == "a b"
     with pytest.raises(ValueError):
-        periodic_runs.find_runs(docs, out="Start")
+        periodic_runs.find_runs(docs, times=2)
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="the driver's tables are not here")

@@ -135,6 +135,13 @@ def test_other_tokenizers_are_refused(spark):
         token_files.encode(spark.createDataFrame([("a",)], "text string"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def test_columns_of_the_same_name_are_replaced(spark):
+    docs = spark.createDataFrame([("a b", "x", 3)], "text string, ids string, n int")
+    out = token_files.encode(docs, PATH)
+    assert out.columns == ["text", "ids", "n"] and ids(out.first().ids) == whole("a b")[:-1]
+    assert token_files.decode(out.withColumn("text", out.n), PATH).first().text == "a b"
+
+
 def test_very_long_text(spark):
     text = "lorem ipsum, " * 100_000 + "x" * 300_000
     got = token_files.encode(spark.createDataFrame([(text,)], "text string"), PATH, end_id=2).collect()[0]
