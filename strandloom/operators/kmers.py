@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.codec import canonical as canonical_of
 from ..functions.codec import check_k, decode_kmer, encode_kmer
 
-#: Windows that one expression makes at once.
-PIECE = 16_384
+#: Windows of the pieces that runs are cut into, in turn: a substring is found by walking from the start of its text.
+PIECES = (16_384, 128)
+#: Up to this k the strategy `native` counts both strands apart before it adds them up: at most 4**k rows are shuffled twice then.
+SMALL_K = 12
 #: Bases that the kernel takes at once; its memory is some 60 bytes for each.
 CHUNK = 1 << 17
 #: Tables of all k-mers are held up to this size; beyond it, so many windows make a sorted run, and so many k-mers of runs are held at most.
@@ -39,8 +41,10 @@ def windows(reads: DataFrame, k: int, *, seq: str = "seq") -> DataFrame:
     check_k(k)
     rest = [c for c in reads.columns if c != seq]
     runs = reads.select(*rest, F.explode(F.regexp_extract_all(F.col(seq), F.lit("[ACGT]+"), F.lit(0))).alias("_run")).where(F.length("_run") >= k)
-    starts = F.sequence(F.lit(1), F.length("_run") - k + 1, F.lit(PIECE))
-    pieces = runs.select(*rest, F.explode(F.transform(starts, lambda i: F.substring(F.col("_run"), i, F.lit(PIECE + k - 1)))).alias("_run"))
+    pieces = runs
+    for size in PIECES:
+        starts = F.sequence(F.lit(1), F.length("_run") - k + 1, F.lit(size))
+        pieces = pieces.select(*rest, F.explode(F.transform(starts, lambda i: F.substring(F.col("_run"), i, F.lit(size + k - 1)))).alias("_run"))  # noqa: B023
     each = F.transform(F.sequence(F.lit(1), F.length("_run") - k + 1), lambda i: F.substring(F.col("_run"), i, F.lit(k)))
     return pieces.select(*rest, F.explode(each).alias("kmer"))
 
@@ -215,8 +219,12 @@ def count(reads: DataFrame, k: int, *, canonical: bool = True, strategy: str = "
     if strategy == "arrow":
         out = _counted(reads, k, canonical, seq, lambda: Runs(k)).select(spelt(F.col("enc"), k).alias("kmer"), "cnt", *["enc"] * enc)
     elif strategy == "native":
-        kmer = canonical_of(F.col("kmer")) if canonical else F.col("kmer")
-        out = windows(reads.select(seq), k, seq=seq).groupBy(kmer.alias("kmer")).agg(F.count("*").alias("cnt"))
+        each = windows(reads.select(seq), k, seq=seq)
+        # Where k-mers repeat, they are counted as they stand and only the different ones are turned.
+        first = canonical and k > SMALL_K
+        out = each.groupBy((canonical_of(F.col("kmer")) if first else F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
+        if canonical and not first:
+            out = out.groupBy(canonical_of(F.col("kmer")).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
         out = encoded(out) if enc else out
     else:
         raise ValueError(f"strategy is 'arrow' or 'native', not {strategy!r}")

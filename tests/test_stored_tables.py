@@ -174,6 +174,9 @@ def test_only_hits_leave_the_tasks(spark):
     found = kmers.counts_of(frame(spark, seqs).repartition(4), asked, 9)
     assert {r.kmer: r.cnt for r in found.collect()} == {s: naive(seqs, 9)[s] for s in sorted(naive(seqs, 9))[:5]}
     assert kmers.counts_of(frame(spark, seqs), asked.limit(0), 9).collect() == []
+    task = kmers.Asked(np.array([3, 5, 9]))
+    assert all(not list(task.add(found)) for found in (np.array([1, 3, 3, 10]), np.array([], int), np.array([9, 0])))
+    assert [(k.tolist(), n.tolist()) for k, n in task.end()] == [([3, 9], [2, 1])]
 
 
 def test_flat_arrays_have_a_bounded_size_and_their_place(spark):
