@@ -40,22 +40,22 @@ def files(path):
 
 
 def some_parts(spark, seqs, k, keep):
-    return kmers.count(frame(spark, seqs), k, enc=True).where(F.col("enc").isNotNull()).transform(lambda d: tables.partitioned(d, k)).where(F.col("part").isin(keep))
+    return kmers.count(frame(spark, seqs), k, enc=True).where(F.col("enc").isNotNull()).transform(lambda d: tables.partitioned(d, k, 10)).where(F.col("part").isin(keep))
 
 
 def test_upsert_writes_the_touched_parts_alone(spark, tmp_path):
     path, seqs = str(tmp_path / "t"), reads(1, 300)
-    tables.save(kmers.count(frame(spark, seqs), 7, enc=True), 7, path)
+    tables.save(kmers.count(frame(spark, seqs), 7, enc=True), 7, path, partitions=10)
     before, entry = files(path), tables.latest(spark, path)
-    assert len(entry.versions) == 100
-    delta = some_parts(spark, reads(2, 200), 7, [17])
+    assert len(entry.versions) == 10
+    delta = some_parts(spark, reads(2, 200), 7, [7])
     want = Counter(stored(spark, path))
     want.update({r.kmer: r.cnt for r in delta.collect()})
-    assert tables.upsert(delta, 7, path) == [17]
+    assert tables.upsert(delta, 7, path) == [7]
     after, now = files(path), tables.latest(spark, path)
     live = {f for f in after if any(f.startswith(d) for d in versions.folders(path, now.versions))}
     assert all(after[f] == before[f] for f in live & set(before))
-    assert all("part=17/" in f for f in live - set(before)) and len(live - set(before)) == 1
+    assert all("part=7/" in f for f in live - set(before)) and len(live - set(before)) == 1
     assert stored(spark, path) == dict(want)
     assert {r.kmer: r.cnt for r in tables.load(spark, path, 7).collect()} == dict(want)  # one row for each k-mer
 
@@ -63,7 +63,7 @@ def test_upsert_writes_the_touched_parts_alone(spark, tmp_path):
 def test_upsert_again_after_a_failure_gives_the_same_table(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     first, second = kmers.count(frame(spark, reads(3)), 7, enc=True), kmers.count(frame(spark, reads(4)), 7, enc=True)
-    tables.save(first, 7, path)
+    tables.save(first, 7, path, partitions=10)
     want = Counter({r.kmer: r.cnt for r in first.collect()})
     kept = stored(spark, path)
 
@@ -78,7 +78,7 @@ def test_upsert_again_after_a_failure_gives_the_same_table(spark, tmp_path, monk
     want.update({r.kmer: r.cnt for r in second.collect()})
     assert tables.upsert(second, 7, path, batch=("job", 1)) and stored(spark, path) == dict(want)
     assert tables.upsert(second, 7, path, batch=("job", 1)) == [] and stored(spark, path) == dict(want)
-    tables.save(second, 7, path, mode="append", batch=("job", 0))
+    tables.save(second, 7, path, mode="append", batch=("job", 0), partitions=10)
     assert stored(spark, path) == dict(want)
     left = [d for d in os.listdir(path) if d.startswith("version=")]
     assert len(tables.vacuum(spark, path)) >= 2 and len(left) > len([d for d in os.listdir(path) if d.startswith("version=")])
@@ -87,12 +87,12 @@ def test_upsert_again_after_a_failure_gives_the_same_table(spark, tmp_path, monk
 
 def test_an_entry_that_was_not_finished_does_not_count_and_two_changes_do_not_mix(spark, tmp_path):
     path = str(tmp_path / "t")
-    tables.save(kmers.count(frame(spark, reads(5)), 7, enc=True), 7, path)
+    tables.save(kmers.count(frame(spark, reads(5)), 7, enc=True), 7, path, partitions=10)
     kept, entry = stored(spark, path), tables.latest(spark, path)
     with open(f"{path}/_log/000000000001.json", "w") as f:
         f.write(json.dumps({"k": 7})[:4])
     assert stored(spark, path) == kept
-    tables.save(kmers.count(frame(spark, ["ACGTACG"]), 7, enc=True), 7, path, mode="append")
+    tables.save(kmers.count(frame(spark, ["ACGTACG"]), 7, enc=True), 7, path, mode="append", partitions=10)
     with pytest.raises(RuntimeError, match="changed by another job"):
         versions.commit(spark, path, entry, entry)
 
@@ -100,7 +100,7 @@ def test_an_entry_that_was_not_finished_does_not_count_and_two_changes_do_not_mi
 def test_compaction_after_appends(spark, tmp_path):
     path, batches = str(tmp_path / "t"), [reads(s, 40) for s in range(10, 14)]
     for n, seqs in enumerate(batches):
-        tables.save(kmers.count(frame(spark, seqs), 7, enc=True), 7, path, mode="append" if n else "overwrite")
+        tables.save(kmers.count(frame(spark, seqs), 7, enc=True), 7, path, mode="append" if n else "overwrite", partitions=10)
     want = naive(sum(batches, []), 7)
     assert stored(spark, path) == want and tables.load(spark, path, 7).count() > len(want)
     entry = tables.latest(spark, path)
@@ -115,12 +115,12 @@ def test_empty_tables_and_wrong_ones(spark, tmp_path):
     none = kmers.count(frame(spark, ["AC"]), 7, enc=True)
     with pytest.raises(ValueError, match="no stored table"):
         tables.load(spark, path, 7)
-    tables.save(none, 7, path)
+    tables.save(none, 7, path, partitions=10)
     assert tables.load(spark, path, 7).collect() == [] and tables.upsert(none, 7, path) == [] and tables.compact(spark, path, 7) == []
     queries = spark.createDataFrame([(0, "ACGTACG")], "qid int, kmer string")
     assert [tuple(r) for r in lookup.lookup_stored(spark, path, queries, 7).collect()] == [(0, "ACGTACG", 0)]
     assert [tuple(r) for r in lookup.lookup_stored(spark, path, queries.limit(0), 7).collect()] == []
-    for change in (lambda: tables.save(none, 9, path, mode="append"), lambda: tables.upsert(none, 9, path), lambda: tables.save(none, 7, path, mode="append", partitions=10), lambda: tables.save(none, 7, path, mode="x")):
+    for change in (lambda: tables.save(none, 9, path, mode="append", partitions=10), lambda: tables.upsert(none, 9, path), lambda: tables.save(none, 7, path, mode="append", partitions=20), lambda: tables.save(none, 7, path, mode="x")):
         with pytest.raises(ValueError):
             change()
 
@@ -151,7 +151,7 @@ def test_lookup_reads_the_pages_that_may_hold_a_query(spark, tmp_path):
 def test_lookups_agree(spark, tmp_path):
     path, seqs, k = str(tmp_path / "t"), reads(20, 200), 6
     for n, some in enumerate((seqs[:150], seqs[150:])):
-        tables.save(kmers.count(frame(spark, some), k, enc=True), k, path, mode="append" if n else "overwrite")
+        tables.save(kmers.count(frame(spark, some), k, enc=True), k, path, mode="append" if n else "overwrite", partitions=10)
     rand, want = random.Random(1), naive(seqs, k)
     asked = [(i, "".join(rand.choice("ACGT") for _ in range(k))) for i in range(300)] + [(300 + i, s) for i, s in enumerate(sorted(want)[:50])]
     queries = spark.createDataFrame(asked, "qid int, kmer string")
@@ -222,7 +222,7 @@ def test_stream_into_a_table(spark, tmp_path, monkeypatch):
         (tmp_path / "in" / f"{n}.fastq").write_text("".join(f"@{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(seqs)))
         seen += seqs
         for _ in range(2):  # the second time nothing new is there
-            streaming.stream_into_table(streaming.stream_fastq(spark, str(tmp_path / "in"), str(tmp_path / "log")), 7, path, str(tmp_path / "progress"))
+            streaming.stream_into_table(streaming.stream_fastq(spark, str(tmp_path / "in"), str(tmp_path / "log")), 7, path, str(tmp_path / "progress"), partitions=10)
             assert stored(spark, path) == naive(seen, 7)
     assert max(len(v) for v in tables.latest(spark, path).versions.values()) <= 2
 
