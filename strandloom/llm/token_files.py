@@ -57,8 +57,8 @@ SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 #: Bytes of text that one task sorts and encodes (some five seconds), and bytes of ids in a batch that is read.
 TASK_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
 MOST_TOKENIZER_BYTES = 64 << 20
-#: Different words, and as many of what else stands in texts, that a worker keeps, of some 150 bytes each.
-MOST_PIECES = 600_000
+#: Different words, and as many of what else stands in texts, that a worker keeps, of some 150 bytes each; none of more characters.
+MOST_PIECES, LONGEST_PIECE = 600_000, 40
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 CUT = re.compile("(?<=[!-~])(?= [!-~])")
@@ -104,7 +104,8 @@ class Pieces:
             learnt = [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([before + p for p in new] if before else new, add_special_tokens=False)]
             if len(known) + len(new) > MOST_PIECES and 2 * len(new) > len(pieces):
                 known.clear()  # other texts than those that filled it
-            known.update(itertools.islice(zip(new, learnt, strict=True), max(0, MOST_PIECES - len(known))))
+            short = ((p, ids) for p, ids in zip(new, learnt, strict=True) if len(p) <= LONGEST_PIECE)
+            known.update(itertools.islice(short, max(0, MOST_PIECES - len(known))))
             rest = iter(learnt)
             found = [next(rest) if ids is None else ids for ids in found]
         return found

@@ -44,6 +44,9 @@ def test_the_memory_of_pieces_is_bounded(monkeypatch):
         texts = [" ".join(str(rand.randrange(10**rand.randint(1, 6))) for _ in range(40)) for _ in range(4)]
         assert [ids(b) for b in pieces.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(pieces.words) <= 50 and len(pieces.others) <= 50
+    long = "x" * 5000 + "." * 5000
+    assert ids(pieces.encode([f"a {long} {long}"])[0]) == LIBRARY.encode(f"a {long} {long}", add_special_tokens=False).ids
+    assert all(len(p) <= token_files.LONGEST_PIECE for known in (pieces.words, pieces.others) for p in known)
 
 
 def test_files_give_back_every_document_in_order(spark):
