@@ -166,21 +166,21 @@ def kmer_flat_chunks(spark, sf_dir):
 
 
 def fastq_scan(spark, sf_dir):
-    """Document lines written as FASTQ records and read back; how often each sequence stands there."""
-    return scan_fastq(spark, _as_fastq(spark, sf_dir)).groupBy("seq").agg(F.count("*").alias("n_reads"))
+    """Document lines written as compressed FASTQ files and read back; how often each sequence stands there."""
+    return scan_fastq(spark, _as_fastq(spark, sf_dir, "gzip")).groupBy("seq").agg(F.count("*").alias("n_reads"))
 
 
 def fastq_records(spark, sf_dir):
-    """The same records with their names, which say where each sequence came from, and the length of their qualities."""
+    """The same records from plain files, in ranges of bytes, with their names, which say where each sequence came from, and the length of their qualities."""
     name = F.split("name", ":")
     rows = scan_fastq(spark, _as_fastq(spark, sf_dir), "name string, seq string, quality string")
     return rows.select(name[0].cast("long").alias("doc_id"), name[1].cast("long").alias("line"), "seq", F.length("quality").cast("long").alias("n_quality"))
 
 
-def _as_fastq(spark, sf_dir) -> str:
+def _as_fastq(spark, sf_dir, compression: str = "none") -> str:
     path = fresh(spark, "fastq")
     record = F.concat_ws("\n", F.format_string("@%d:%d", "doc_id", "line"), "seq", F.lit("+"), F.repeat(F.lit("I"), F.length("seq")))
-    _reads(spark, sf_dir).select(record.alias("value")).write.text(path)
+    _reads(spark, sf_dir).select(record.alias("value")).write.text(path, compression=compression)
     return path
 
 
