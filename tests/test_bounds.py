@@ -1,3 +1,10 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from strandloom.operators import kmers
 from strandloom.plans import catalog
 from strandloom.sources.reads import TEXT_FROM, TEXT_TO
 
@@ -23,3 +30,66 @@ def test_windows_of_a_read_are_not_sorted(spark, tmp_path):
     got = catalog.kmer_extract_k5(spark, documents(spark, tmp_path, rows))
     assert {(r.doc_id, r.line): (r.n_kmers, r.first_kmer, r.last_kmer) for r in got.collect()} == {k: (len(v), min(v), max(v)) for k, v in want.items() if v}
     assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def canonical_counts(seqs, k):
+    out = Counter()
+    for s in seqs:
+        for w in (s[i : i + k] for i in range(len(s) - k + 1)):
+            if "N" not in w:
+                out[min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))] += 1
+    return dict(out)
+
+
+@pytest.mark.parametrize("k", [21, 31])
+def test_counts_are_shuffled_as_buckets_of_runs(spark, tmp_path, k):
+    rand = random.Random(k)
+    words = ["".join(rand.choice("abcdefgh") for _ in range(rand.randrange(1, 9))) for _ in range(400)]
+    rows = [(i, " ".join(rand.choices(words, k=300)) + rand.choice("\n12")) for i in range(150)] + [(7, None), (8, "short")]
+    got = catalog.QUERIES[f"kmer_counts_k{k}"](spark, documents(spark, tmp_path, rows))
+    assert {r.kmer: r.cnt for r in got.collect()} == canonical_counts([s for *_, s in lines_of(rows)], k)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning(bucket" in plan
+
+
+def test_buckets_of_any_sizes_are_added_up(spark, monkeypatch):
+    rand = random.Random(4)
+    seqs = ["".join(rand.choice("ACGTN" if n % 2 else "AC") for _ in range(rand.randrange(90))) for n in range(120)]
+    reads = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(5)
+    for added, bits, batch in ((3, 2, "4"), (50, 12, "10000"), (1 << 20, 1, "3")):
+        monkeypatch.setattr(kmers, "ADDED", added)
+        monkeypatch.setattr(kmers, "BUCKET_BITS", bits)
+        monkeypatch.setattr(kmers, "BUCKETS", 1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            for k in (1, 6, 13, 31):
+                rows = kmers.count(reads, k, enc=True).collect()
+                assert {r.kmer: r.cnt for r in rows} == canonical_counts(seqs, k) and len(rows) == len({r.enc for r in rows})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_runs_come_back():
+    rand = np.random.default_rng(5)
+    for k in (1, 2, 9, 21, 31):
+        for bits in {1, min(12, 2 * k), min(30, 2 * k)}:
+            shift, runs = 2 * k - bits, []
+            for m in (1, 3, 5000):
+                enc = np.unique(np.append(rand.integers(0, 4**k, m), 4**k - 1))
+                keys = np.sort(kmers.spread(enc, k))
+                assert (np.sort(kmers.gathered(keys, k)) == enc).all() and 0 <= keys[0] <= keys[-1] < 4**k
+                runs.append((keys, rand.integers(1, 1 << int(rand.integers(1, 62)), len(keys))))
+            # Runs of different widths in one batch, as the shuffle brings them.
+            rows = pa.Table.from_batches([kmers.packed(*r, shift) for r in runs]).combine_chunks().to_batches()[0]
+            cut = len(kmers.packed(*runs[0], shift))
+            both = [np.concatenate(x) for x in zip(*(kmers.unpacked(rows.slice(a, n), shift) for a, n in ((0, cut), (cut, len(rows) - cut))), strict=True)]
+            assert all((a == np.concatenate(b)).all() for a, b in zip(both, zip(*runs, strict=True), strict=True))
+    # Text has most of its k-mers near each other; their buckets are of even sizes.
+    keys = kmers.spread(np.arange(1 << 16), 21)
+    assert np.bincount(keys >> 30, minlength=4096).max() <= 2 * 16
+
+
+def test_asked_kmers_that_are_too_long_have_no_count(spark):
+    reads = spark.createDataFrame([("ACGTTGCAAC",)], "seq string")
+    asked = spark.createDataFrame([("AACGT",), ("TTGCA",), ("GGGGG",), ("TACGTA",)], "kmer string")
+    assert {(r.kmer, r.cnt) for r in kmers.counts_of(reads, asked, 5, canonical=False).collect()} == {("TTGCA", 1)}
