@@ -4,6 +4,7 @@ A file is a row of 32-bit words in the order of the machine that wrote it, here
 30 bits, then a word for each ten bases, three bits each, the first base in the highest. The high bits of these words are never set, so a header is known by its own
 bits: a range of bytes starts with the first header in it, and no other task is asked. Headers and the numbers of words between them are compared for a whole
 block at once, and a header that doesn't fit the words after it, a word with one high bit or a code above 4 is an error that names file and byte.
+Bases are made from words, and words from bases, for some PIECE of them at a time, whole reads each, however large blocks and batches are.
 
 Columns to read, of which a schema chooses: path; offset, the byte of the header; header and blocks; seq, the bases (N for any other character).
 Columns to write: header and blocks, or seq. Null reads are not stored. Order within a file is that of the partition; each task writes files of its own,
@@ -30,22 +31,41 @@ from .files import file_system, listed
 
 SCHEMA = "path string, offset long, header long, blocks array<long>"
 SPLIT_BYTES, BLOCK = 64 << 20, 8 << 20
+#: Bases that are packed or unpacked at once, or those of one longer read; the memory is a few bytes for each.
+PIECE = 1 << 20
 HEADER = np.uint32(3 << 30)
 SHIFTS = np.arange(3 * (BASES_PER_BLOCK - 1), -1, -3, dtype=np.uint32)
 BASES = np.frombuffer(b"ACGTN???", np.uint8)
-CODES = np.full(256, 4, np.uint32)
+CODES = np.full(256, 4, np.uint8)
 CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
 
+def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with some PIECE of bases together; a row with more is one by itself."""
+    done, a = np.append(0, np.cumsum(sizes)), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + PIECE, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _filled(lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which places in the words of reads hold a base: each read starts a word, and what its last one has beyond is padding of code 0."""
+    ends, padding = np.cumsum(words) * BASES_PER_BLOCK, words * BASES_PER_BLOCK - lengths
+    out = np.ones(int(words.sum()) * BASES_PER_BLOCK, bool)
+    for j in range(1, BASES_PER_BLOCK):
+        out[ends[padding >= j] - j] = False
+    return out
+
+
 def pack_words(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Headers and words of reads whose characters stand one after the other in data."""
     words = -(-lengths // BASES_PER_BLOCK)
-    ends = np.cumsum(words)
-    codes = np.zeros(int(words.sum()) * BASES_PER_BLOCK, np.uint32)
-    # Each read starts a word: what lies between is padding of code 0.
-    shift = np.repeat((ends - words) * BASES_PER_BLOCK - (np.cumsum(lengths) - lengths), lengths)
-    codes[np.arange(len(data)) + shift] = CODES[data]
-    packed = (codes.reshape(-1, BASES_PER_BLOCK) << SHIFTS).sum(axis=1, dtype=np.uint32)
+    codes = np.zeros(int(words.sum()) * BASES_PER_BLOCK, np.uint8)
+    codes[_filled(lengths, words)] = CODES[data]
+    packed = np.zeros(len(codes) // BASES_PER_BLOCK, np.uint32)
+    for j, shift in enumerate(SHIFTS):
+        packed |= codes[j::BASES_PER_BLOCK].astype(np.uint32) << shift
     return with_headers(HEADER + lengths.astype(np.uint32), packed, words)
 
 
@@ -60,10 +80,10 @@ def with_headers(headers: np.ndarray, blocks: np.ndarray, words: np.ndarray) ->
 
 def unpack_bases(blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The characters of reads whose words stand one after the other."""
-    codes = (blocks[:, None] >> SHIFTS & np.uint32(7)).ravel()
-    words = -(-lengths // BASES_PER_BLOCK)
-    starts = (np.cumsum(words) - words) * BASES_PER_BLOCK
-    return BASES[codes[np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]]
+    letters = np.empty((len(blocks), BASES_PER_BLOCK), np.uint8)
+    for j, shift in enumerate(SHIFTS):
+        letters[:, j] = BASES[blocks >> shift & np.uint32(7)]
+    return letters.ravel()[_filled(lengths, -(-lengths // BASES_PER_BLOCK))]
 
 
 def _words(part: Range) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,20 +148,26 @@ def records(part: Range, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """The reads whose headers stand in a range."""
     for offset, data in _words(part):
         heads, lengths, blocks = _checked(part.path, offset, data)
-        words = -(-lengths // BASES_PER_BLOCK)
+        starts = np.append(0, np.cumsum(-(-lengths // BASES_PER_BLOCK)))
+        for a, b in pieces(lengths):
+            yield _batch(part.path, offset + 4 * heads[a:b], lengths[a:b], blocks[starts[a] : starts[b]], columns)
+
 
-        def offsets(sizes: np.ndarray) -> pa.Buffer:
-            return pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32))
+def _batch(path: str, at: np.ndarray, lengths: np.ndarray, blocks: np.ndarray, columns: list[str]) -> pa.RecordBatch:
+    """Reads whose headers stand at some bytes of a file."""
 
-        n = len(heads)
-        make = {
-            "path": lambda: pa.array(np.full(n, part.path, object), pa.string()),  # noqa: B023
-            "offset": lambda: pa.array(offset + 4 * heads),  # noqa: B023
-            "header": lambda: pa.array(data[heads].astype(np.int64)),  # noqa: B023
-            "blocks": lambda: pa.Array.from_buffers(pa.list_(pa.int64()), n, [None, offsets(words)], children=[pa.array(blocks.astype(np.int64))]),  # noqa: B023
-            "seq": lambda: pa.Array.from_buffers(pa.string(), n, [None, offsets(lengths), pa.py_buffer(unpack_bases(blocks, lengths))]),  # noqa: B023
-        }
-        yield pa.RecordBatch.from_arrays([make[c]() for c in columns], names=columns)
+    def offsets(sizes: np.ndarray) -> pa.Buffer:
+        return pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32))
+
+    n = len(at)
+    make = {
+        "path": lambda: pa.array(np.full(n, path, object), pa.string()),
+        "offset": lambda: pa.array(at),
+        "header": lambda: pa.array(lengths + int(HEADER)),
+        "blocks": lambda: pa.Array.from_buffers(pa.list_(pa.int64()), n, [None, offsets(-(-lengths // BASES_PER_BLOCK))], children=[pa.array(blocks.astype(np.int64))]),
+        "seq": lambda: pa.Array.from_buffers(pa.string(), n, [None, offsets(lengths), pa.py_buffer(unpack_bases(blocks, lengths))]),
+    }
+    return pa.RecordBatch.from_arrays([make[c]() for c in columns], names=columns)
 
 
 class Reader(DataSourceReader):
@@ -177,11 +203,18 @@ class Writer(DataSourceArrowWriter):
         name, size = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0
         with system.open_output_stream(f"{inside}/_{name}") as f:
             for batch in iterator:
-                words = self._packed(batch) if self.packed else self._from_seq(batch)
-                f.write(words.tobytes())
-                size += words.nbytes
+                for a, b in pieces(self._bases(batch)):
+                    piece = batch.slice(a, b - a)
+                    words = self._packed(piece) if self.packed else self._from_seq(piece)
+                    f.write(memoryview(words))
+                    size += words.nbytes
         return Written(name, size)
 
+    def _bases(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Of each row, or its bytes, which are no fewer."""
+        sizes = pc.multiply(batch.column("blocks").value_lengths(), BASES_PER_BLOCK) if self.packed else pc.binary_length(batch.column("seq"))
+        return sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def _packed(self, batch: pa.RecordBatch) -> np.ndarray:
         kept = batch.filter(batch.column("header").is_valid())
         blocks = kept.column("blocks")
