@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,6 +61,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """What earlier batches took of a worker's memory and no longer use, Arrow gives back to the machine. A worker lives on after its task, and Arrow keeps some 50 MB otherwise."""
+    pa.default_memory_pool().release_unused()
+
+
 def sized(df: DataFrame, most_rows: int) -> DataFrame:
     """df (written before, so counting is cheap) marked for a broadcast if it has at most most_rows rows, else for a merge join."""
     from pyspark.sql import functions as F

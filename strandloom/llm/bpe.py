@@ -22,12 +22,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import give_back
+
 NONE = 1 << 30
 SHORT = 64
 #: Slots of the table of pairs: some times as many as a vocabulary has pairs.
 SLOT_BITS = 20
 #: Bytes of short pieces that are merged at once; their trees take some 60 bytes for each.
-ROW_BYTES = 1 << 19
+ROW_BYTES = 1 << 16
+#: Characters of texts that are split at once, but for a longer text by itself; a piece and its place take some 15 bytes for each.
+SPLIT_CHARS = 1 << 18
 #: Pieces whose ids a task keeps, about 200 bytes each. Beyond it the memory starts anew; results don't depend on it.
 KEPT_PIECES = 200_000
 #: Rank files above this size are refused, as the ranks are broadcast.
@@ -214,6 +218,18 @@ class Merges:
         return out
 
 
+def _parts(texts: list[str], chars: int):
+    """texts in turn, of some chars characters together or one by itself."""
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        if a < b and size + len(t) > chars:
+            yield texts[a:b]
+            a, size = b, 0
+        size += len(t)
+    if a < len(texts):
+        yield texts[a:]
+
+
 class Encoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.merges = Merges(tokens)
@@ -222,8 +238,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for a in range(0, len(texts), 500):
-            pieces = [self.split(t) for t in texts[a : a + 500]]
+        for part in _parts(texts, SPLIT_CHARS):
+            pieces = [self.split(t) for t in part]
             new = list(set().union(*pieces).difference(self.known))
             if len(self.known) + len(new) > KEPT_PIECES:
                 self.known.clear()
@@ -269,10 +285,12 @@ class Codec:
 
         @F.pandas_udf("binary")
         def to_ids(texts: pd.Series) -> pd.Series:
+            give_back()
             return pd.Series(_encoder(shared, pattern).encode(texts.fillna("").tolist()), dtype=object)
 
         @F.pandas_udf("binary")
         def to_bytes(ids: pd.Series) -> pd.Series:
+            give_back()
             decode = _encoder(shared, pattern).decode
             return pd.Series([decode(x or b"") for x in ids], dtype=object)
 

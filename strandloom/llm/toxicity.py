@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, sized, unused
+from ._common import cut, give_back, sized, unused
 from .shingles import mix
 
 ORDER = 5
@@ -47,6 +47,8 @@ THRESHOLD = 0.7
 #: Words whose score a task keeps, some 150 bytes each; beyond it the memory starts anew. Texts that are scored at once.
 KEPT_WORDS = 100_000
 STEP = 200
+#: Characters whose windows are counted at once; they take some 70 bytes for each.
+KEYED_CHARS = 1 << 18
 WORD = re.compile(r"[^\W_]+")
 #: Characters from here on fall into so many classes for the shared counts.
 FIRST_SHARED, SHARED = 0x250, 1024
@@ -104,6 +106,7 @@ def shared_counts(docs: DataFrame, text="text") -> DataFrame:
             return found, n
 
         for part in parts:
+            give_back()
             texts, size = [], 0
             for t in [*part.column(0), None]:
                 value = None if t is None else t.as_py()
@@ -111,7 +114,7 @@ def shared_counts(docs: DataFrame, text="text") -> DataFrame:
                     texts.append(value.lower())
                     size += len(value)
                 # A window of few texts at a time, so that a task holds some MB.
-                if texts and (t is None or size > 1 << 20):
+                if texts and (t is None or size > KEYED_CHARS):
                     waiting.append(np.unique(_keys("\n".join(texts)), return_counts=True))
                     texts, size = [], 0
             if sum(len(k) for k, _ in waiting) > 1 << 20:
@@ -340,6 +343,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text="text", usable: Column | N
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*tables.value)  # ends with the task
         for texts in batches:
+            give_back()
             yield pd.Series([x for a in range(0, len(texts), STEP) for x in scorer.features(texts.iloc[a : a + STEP].tolist())], dtype=object)
 
     seen = sample.select("toxic", features("text").alias("x")).collect()
