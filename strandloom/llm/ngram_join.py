@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from ._common import cut, sized, unused
+from ._common import cut, give_back, sized, unused
 from .components import components
 
 #: Sets above this size are never enumerated; it bounds a set's subsets.
@@ -95,6 +95,7 @@ def common_hashes(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
     def batches(parts):
         for part in parts:
+            give_back()
             found = []
             for t in part.column(0):
                 own = S.of_text(t.as_py(), width)
@@ -129,6 +130,7 @@ def features(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
 
     def batches(parts):
         for part in parts:
+            give_back()
             sets = [in_order(S.of_text(t.as_py(), width), shared.value) for t in part.column(1)]
             n = np.array([len(s) for s in sets], np.int64)
             d1, d2, kept = [], [], []
@@ -153,6 +155,7 @@ def sets(docs: DataFrame, ids: DataFrame, width: int, common: np.ndarray) -> Dat
 
     def batches(parts):
         for part in parts:
+            give_back()
             found = [in_order(S.of_text(t.as_py(), width), shared.value) for t in part.column(1)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
